@@ -6,19 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import neardup
+from docloom.llm import neardup, sharding
+
+#: Regions by capacity, four racks of eight shards each; and the same after a rack was doubled and a shard drained.
+BEFORE = sharding.grid({"ap": 1, "eu": 2, "us": 3}, 4, 8)
+AFTER = sharding.grid({"ap": 1, "eu": 2, "us": 3}, 4, 8, {"eu/r2": 2, "us/r1/s3": 0})
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_weighted_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.moves(_table(spark, sf_dir, "documents"), BEFORE, AFTER)
+
+
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(_table(spark, sf_dir, "documents")).select("doc_id", "group_id", "group_rows", "keep")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_weighted_sharding": op4_weighted_sharding,
     "op10_minhash_neardup": op10_minhash_neardup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_weighted_sharding": sharding.moves_sql(BEFORE, AFTER),
+}
