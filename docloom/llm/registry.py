@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import neardup, sharding
+from docloom.llm import merkle, neardup, sharding
 
 #: Regions by capacity, four racks of eight shards each; and the same after a rack was doubled and a shard drained.
 BEFORE = sharding.grid({"ap": 1, "eu": 2, "us": 3}, 4, 8)
@@ -17,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare(_table(spark, sf_dir, "documents"))
+
+
 def op4_weighted_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.moves(_table(spark, sf_dir, "documents"), BEFORE, AFTER)
 
@@ -26,10 +30,12 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_merkle_fingerprints": op3_merkle_fingerprints,
     "op4_weighted_sharding": op4_weighted_sharding,
     "op10_minhash_neardup": op10_minhash_neardup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_merkle_fingerprints": merkle.COMPARE_SQL,
     "op4_weighted_sharding": sharding.moves_sql(BEFORE, AFTER),
 }
