@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docloom.llm import merkle, neardup, sharding
+from docloom.llm import chat, merkle, neardup, sharding
 
 #: Regions by capacity, four racks of eight shards each; and the same after a rack was doubled and a shard drained.
 BEFORE = sharding.grid({"ap": 1, "eu": 2, "us": 3}, 4, 8)
@@ -25,6 +26,11 @@ def op4_weighted_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.moves(_table(spark, sf_dir, "documents"), BEFORE, AFTER)
 
 
+def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = chat.reply_trees(_table(spark, sf_dir, "conversations"))
+    return chat.conversations(messages).select(F.col("tree").alias("conv_id"), "branch", "n_messages", "score", "text")
+
+
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(_table(spark, sf_dir, "documents")).select("doc_id", "group_id", "group_rows", "keep")
 
@@ -32,10 +38,12 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_merkle_fingerprints": op3_merkle_fingerprints,
     "op4_weighted_sharding": op4_weighted_sharding,
+    "op5_reply_trees": op5_reply_trees,
     "op10_minhash_neardup": op10_minhash_neardup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_merkle_fingerprints": merkle.COMPARE_SQL,
     "op4_weighted_sharding": sharding.moves_sql(BEFORE, AFTER),
+    "op5_reply_trees": chat.CHAT_SQL,
 }
