@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, merkle, neardup, sharding
+from docloom.llm import chat, merkle, neardup, packing, sharding
 
 #: Regions by capacity, four racks of eight shards each; and the same after a rack was doubled and a shard drained.
 BEFORE = sharding.grid({"ap": 1, "eu": 2, "us": 3}, 4, 8)
@@ -31,6 +31,10 @@ def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversations(messages).select(F.col("tree").alias("conv_id"), "branch", "n_messages", "score", "text")
 
 
+def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.sequences(_table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(_table(spark, sf_dir, "documents")).select("doc_id", "group_id", "group_rows", "keep")
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_merkle_fingerprints": op3_merkle_fingerprints,
     "op4_weighted_sharding": op4_weighted_sharding,
     "op5_reply_trees": op5_reply_trees,
+    "op8_best_two_fit": op8_best_two_fit,
     "op10_minhash_neardup": op10_minhash_neardup,
 }
 
