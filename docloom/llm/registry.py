@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, merkle, neardup, packing, sharding
+from docloom.llm import chat, merkle, neardup, packing, sharding, toxicity
 
 #: Regions by capacity, four racks of eight shards each; and the same after a rack was doubled and a shard drained.
 BEFORE = sharding.grid({"ap": 1, "eu": 2, "us": 3}, 4, 8)
@@ -35,6 +35,10 @@ def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.sequences(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(_table(spark, sf_dir, "documents")).select("doc_id", "group_id", "group_rows", "keep")
 
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_weighted_sharding": op4_weighted_sharding,
     "op5_reply_trees": op5_reply_trees,
     "op8_best_two_fit": op8_best_two_fit,
+    "op9_toxicity": op9_toxicity,
     "op10_minhash_neardup": op10_minhash_neardup,
 }
 
