@@ -112,13 +112,12 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
         a = np.tanh(x @ w[0] + w[1])
         s = sigmoid(a @ w[2] + w[3][0])  # loss of a positive: 1 - s; of a negative: s
         slope = s * (1 - s) / size
-        risk_p, risk_n = prior * (1 - s[:size]).mean(), s[size:].mean() - prior * s[:size].mean()
+        risk_n = s[size:].mean() - prior * s[:size].mean()
         to_p = np.concatenate([-prior * slope[:size], np.zeros(size)])
         to_n = np.concatenate([-prior * slope[:size], slope[size:]])
         dz = to_p + to_n if risk_n >= 0 else -to_n
         da = dz[:, None] * w[2] * (1 - a**2)
         grads = [x.T @ da + decay * w[0], da.sum(0), a.T @ dz + decay * w[2], np.array([dz.sum()])]
-        del risk_p
         for i, g in enumerate(grads):
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.999 * second[i] + 0.001 * g * g
