@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, merkle, neardup, packing, quality, sharding, toxicity
+from docloom.llm import chat, merkle, neardup, packing, pii, quality, sharding, toxicity
 
 #: Regions by capacity, four racks of eight shards each; and the same after a rack was doubled and a shard drained.
 BEFORE = sharding.grid({"ap": 1, "eu": 2, "us": 3}, 4, 8)
@@ -18,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_table(spark, sf_dir, "documents"))
+
+
 def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_offsets": op1_pii_offsets,
     "op3_merkle_fingerprints": op3_merkle_fingerprints,
     "op4_weighted_sharding": op4_weighted_sharding,
     "op5_reply_trees": op5_reply_trees,
