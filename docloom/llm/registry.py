@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, merkle, neardup, packing, pii, quality, sharding, toxicity
+from docloom.llm import chat, merkle, neardup, packing, pieces, pii, quality, sharding, toxicity
 
 #: Regions by capacity, four racks of eight shards each; and the same after a rack was doubled and a shard drained.
 BEFORE = sharding.grid({"ap": 1, "eu": 2, "us": 3}, 4, 8)
@@ -35,6 +35,10 @@ def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversations(messages).select(F.col("tree").alias("conv_id"), "branch", "n_messages", "score", "text")
 
 
+def op6_sentencepiece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trips(_table(spark, sf_dir, "documents"))
+
+
 def op7_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_merkle_fingerprints": op3_merkle_fingerprints,
     "op4_weighted_sharding": op4_weighted_sharding,
     "op5_reply_trees": op5_reply_trees,
+    "op6_sentencepiece_scan": op6_sentencepiece_scan,
     "op7_pu_quality": op7_pu_quality,
     "op8_best_two_fit": op8_best_two_fit,
     "op9_toxicity": op9_toxicity,
