@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat, merkle, neardup, packing, pieces, pii, quality, sharding, toxicity
+from docloom.llm import ann, chat, merkle, neardup, packing, pieces, pii, quality, sharding, toxicity
 
 #: Regions by capacity, four racks of eight shards each; and the same after a rack was doubled and a shard drained.
 BEFORE = sharding.grid({"ap": 1, "eu": 2, "us": 3}, 4, 8)
@@ -22,6 +22,11 @@ def op1_pii_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_table(spark, sf_dir, "documents"))
 
 
+def op2_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.neighbours(_table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "rank", "neighbour", "score")
+
+
 def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_offsets": op1_pii_offsets,
+    "op2_anisotropic_ann": op2_anisotropic_ann,
     "op3_merkle_fingerprints": op3_merkle_fingerprints,
     "op4_weighted_sharding": op4_weighted_sharding,
     "op5_reply_trees": op5_reply_trees,
