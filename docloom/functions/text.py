@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BULLETS = "-•–—·●○■□▪▫◦◆◇►▸‣⁃∙"
+BULLETS = "-•–—◦○●▪■□▸►▹▻★☆·∙⁃"
 #: What ends a word without a space before it.
 PUNCTUATION = (".", "!", "?")
 ORDERED = r"^(?:[0-9]+[.)]\s|[a-z][.)]\s|[A-Z][.)]\s|(?:x{0,3}(?:ix|iv|v?i{0,3}))[.)]\s|(?:X{0,3}(?:IX|IV|V?I{0,3}))[.)]\s)"
 NOT_NOTES = (
-    "figure", "fig", "table", "section", "chapter", "equation", "eq", "step", "part", "page", "line", "item", "note",
-    "appendix", "article", "clause", "paragraph", "rule", "volume", "vol", "no", "number", "level", "phase", "type", "class",
+    "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "time", "date", "daytime", "printf", "scanf",
+    "malloc", "free", "exit", "open", "close", "read", "write", "socket", "connect", "bind", "listen",
 )
 
 
@@ -67,10 +67,11 @@ def link_word(word: Column) -> Column:
 
 
 def note_mark(word: Column) -> Column:
-    """``word(12)`` as ``word[^12]``, unless the word announces a number."""
-    head, number = F.regexp_extract(word, r"^(.+?)\(([0-9]{1,2})\)$", 1), F.regexp_extract(word, r"^(.+?)\(([0-9]{1,2})\)$", 2)
-    counts = (number != "") & ~F.lower(F.regexp_replace(head, "[^A-Za-z]", "")).isin(*NOT_NOTES)
-    return F.when(counts, F.concat(head, F.lit("[^"), number, F.lit("]"))).otherwise(word)
+    """``word(12)`` as ``word[^12]``, unless it reads like a call or a counted thing."""
+    pattern = r"^(.+)\(([0-9]{1,2})\)$"
+    head, number = F.regexp_extract(word, pattern, 1), F.regexp_extract(word, pattern, 2)
+    marks = (number != "") & ~F.lower(head).isin(*NOT_NOTES)
+    return F.when(marks, F.concat(head, F.lit("[^"), number.cast("int").cast("string"), F.lit("]"))).otherwise(word)
 
 
 def word_text(word: Column) -> Column:
