@@ -49,6 +49,10 @@ def walk(root: str) -> Iterator[tuple[str, str]]:
     yield from down(root)
 
 
+def _has_links(root: str) -> bool:
+    return any(os.path.islink(os.path.join(folder, name)) for folder, folders, names in os.walk(root) for name in (*folders, *names))
+
+
 def read(spark: SparkSession, path: str, options: Options | None = None) -> DataFrame:
     """(doc_id, ext, length, modified, content) of the files at a path or glob with wanted extensions."""
     o = options or Options()
@@ -61,6 +65,16 @@ def read(spark: SparkSession, path: str, options: Options | None = None) -> Data
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(o.recursive).lower())
     if o.recursive:
         reader = reader.option("pathGlobFilter", glob(o.extensions))
+    if o.recursive and os.path.isdir(local) and _has_links(local):
+        # links may lead in circles, and to files met before: each real file is read once
+        paths: dict[str, str] = {}
+        for p, real in walk(local):
+            if os.path.splitext(p)[1].lower() in normalized(o.extensions):
+                paths.setdefault(real, p)
+        reader = spark.read.format("binaryFile")
+        path = list(paths.values())
+        if not paths:
+            reader, path = spark.read.format("binaryFile").option("pathGlobFilter", "*.no-such-extension"), local
     found = reader.load(path).select(F.col("path").alias("doc_id"), extension(F.col("path")).alias("ext"), "length", F.col("modificationTime").alias("modified"), "content")
     return found.where(F.col("ext").isin(*normalized(o.extensions)))
 
