@@ -42,6 +42,14 @@ _PLAIN = np.zeros(256, bool)
 _PLAIN[list(b".,;:'\"-()!?")] = True
 
 
+def _distinct(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """Distinct hashes of each of n documents, by their upper 40 bits; one sort of plain integers."""
+    key = np.sort((doc.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)))
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    return tk.count_by_doc((key[new] >> np.uint64(40)).astype(np.int64), n)
+
+
 def features(texts: pa.Array) -> np.ndarray:
     """A row of FEATURES for each text, and before them its number of words."""
     rows = []
@@ -60,11 +68,9 @@ def features(texts: pa.Array) -> np.ndarray:
         word = h.of(start, end)
         repeat = np.zeros(len(word), bool)
         repeat[1:] = (word[1:] == word[:-1]) & (doc[1:] == doc[:-1])
-        pair = np.unique(np.stack([doc.astype(np.uint64), word], 1), axis=0)[:, 0].astype(np.int64) if len(word) else doc
         # distinct words of a text fall with its length: compare with its square root
-        distinct = tk.count_by_doc(pair, n) / np.sqrt(per)
+        distinct = _distinct(doc, word, n) / np.sqrt(per)
         ls, le, ldoc = tk.runs(b != 10, off)
-        line = np.unique(np.stack([ldoc.astype(np.uint64), h.of(ls, le)], 1), axis=0)[:, 0].astype(np.int64) if len(ls) else ldoc
         lines = np.maximum(tk.count_by_doc(ldoc, n), 1)
         ts, te, tdoc = tk.runs(~tk.SPACE[b], off)
         c = np.zeros(len(b) + 1, np.int64)
@@ -75,7 +81,7 @@ def features(texts: pa.Array) -> np.ndarray:
             tk.sum_mask(_MARK[b], off) / per, tk.sum_mask((b >= 48) & (b < 58), off) / size, tk.sum_mask(b == 124, off) / tokens,
             tk.sum_mask(tk.SPACE[b], off) / size, tk.sum_mask(b == 10, off) / size, tk.count_by_doc(doc, n, end - start) / per / 10,
             tk.count_by_doc(doc, n, end - start > 20) / per, tk.count_by_doc(doc, n, repeat) / per, np.minimum(distinct, 20) / 10,
-            1 - tk.count_by_doc(line, n) / lines, tk.count_by_doc(tdoc, n, (c[te] - c[ts]) >= 2) / tokens,
+            1 - _distinct(ldoc, h.of(ls, le), n) / lines, tk.count_by_doc(tdoc, n, (c[te] - c[ts]) >= 2) / tokens,
             tk.sum_mask(_END[b], off) / per, tk.sum_mask(b >= 128, off) / size,
         ], 1))
     return np.concatenate(rows) if rows else np.zeros((0, len(FEATURES) + 1))
