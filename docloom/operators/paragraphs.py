@@ -59,6 +59,8 @@ def lines(docs: DataFrame, options: WordOptions | None = None) -> DataFrame:
         return F.struct(p["seq"].alias("seq"), p["kind"].alias("kind"), heading_level(style["style_id"], style["name"], style["outline_lvl"]).alias("level"), p["num_id"].alias("num_id"), p["ilvl"].alias("ilvl"), fmt.alias("num_fmt"), clean_words(merge_runs(p["words"])).alias("words"), p["cells"].alias("table_columns"), p["is_first_row"].alias("is_table_header"), p["table_no"].alias("table_no"))
 
     rows = looked.select("doc_id", F.inline(F.transform("paras", typed))).where("kind = 'tr' or size(words) > 0")
+    # every window and grouping below is within a document: one exchange serves them all
+    rows = rows.repartition("doc_id")
     counter = F.row_number().over(Window.partitionBy("doc_id", "num_id", "ilvl").orderBy("seq"))
     rows = rows.withColumn("n", F.when(F.col("num_id").isNotNull(), counter))
     prefix = F.when(F.col("num_id").isNotNull(), T.list_prefix(F.col("num_fmt"), F.col("n"), o.compat)).otherwise(F.lit(""))
