@@ -426,21 +426,21 @@ def xlsx_hidden_filter(spark, d):
     return sheets.cells(books).join(gone, ["doc_id", "sheet_no", "row"], "left_anti").select("row")
 
 
-def _order_book(g: pd.DataFrame) -> bytes:
+def _line_book(g: pd.DataFrame) -> bytes:
     cells = []
     for r, (p, q, s, day) in enumerate(zip(g["l_extendedprice"], g["l_quantity"], g["l_discount"], g["serial"]), 1):
         cells += [(r, 1, float(p), {"style": 1}), (r, 2, float(q), {"style": 2}), (r, 3, float(s), {"style": 3}), (r, 4, int(day), {"style": 4})]
     return synth.xlsx([{"name": "L", "cells": cells}], [(164, "$#,##0.00"), (0, ""), (10, ""), (14, "")])
 
 
-_ORDERED = "select l_orderkey, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax) as int) as r, l_extendedprice, l_quantity, l_discount, datediff(cast(l_shipdate as date), date'1899-12-30') as serial from {lineitem}"
+_SUPPLIED = "select l_suppkey, cast(row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax) as int) as r, l_extendedprice, l_quantity, l_discount, datediff(cast(l_shipdate as date), date'1899-12-30') as serial from {lineitem}"
 
 
-@query("""WITH l AS (SELECT l_orderkey::VARCHAR AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax)::INT AS row, * FROM lineitem)
+@query("""WITH l AS (SELECT l_suppkey::VARCHAR AS doc_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax)::INT AS row, * FROM lineitem)
 SELECT doc_id, row, 1 AS col, '$' || printf('%.2f', l_extendedprice) AS value FROM l UNION ALL SELECT doc_id, row, 2, l_quantity::BIGINT::VARCHAR FROM l
 UNION ALL SELECT doc_id, row, 3, printf('%.0f', l_discount * 100) || '%' FROM l UNION ALL SELECT doc_id, row, 4, strftime(l_shipdate::DATE, '%Y-%m-%d') FROM l""")
 def xlsx_number_formats(spark, d):
-    books = _made(_sql(spark, d, _ORDERED), "l_orderkey", lambda g: _order_book(g.sort_values("r")))
+    books = _made(_sql(spark, d, _SUPPLIED), "l_suppkey", lambda g: _line_book(g.sort_values("r")))
     return sheets.cells(xlsx.decode(books)).select("doc_id", "row", "col", "value")
 
 
