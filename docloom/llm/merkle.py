@@ -16,6 +16,12 @@ sections.  Repeated rows have equal roots.  A document's base is the lowest
 (doc_id, root) of those with its first paragraph, null ids last; documents
 without a paragraph, and with a paragraph of their own, have themselves as the
 base and no edit.  Copies that share id and root with the base count as equal.
+
+``compare`` is held against SQL, which fixes these bases.  ``nearest`` looks for
+the base by any shared paragraph instead: an earlier document of equal root, or
+else the earlier one that shares most paragraphs, of several the lowest
+(doc_id, root).  A document that shares none with an earlier one has no base and
+null for ``equal``.  Rows that agree in id and text get the same answer.
 """
 
 from __future__ import annotations
@@ -101,7 +107,39 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return same.unionByName(apart.select(same.columns))
 
 
-#: The same in DuckDB's SQL over ``documents``.
+def _hashes(sections: Column) -> Column:
+    """The paragraph hashes of a tree's sections."""
+    return F.filter(F.split(F.array_join(sections, ","), ","), lambda h: h != "")
+
+
+def nearest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, root, sections, n_paragraphs, base_id, base_root, shared, equal): every row with its nearest earlier document.
+
+    ``shared`` counts the paragraphs both hold.  All pairs of different
+    documents that share a paragraph are counted, so a paragraph of n different
+    documents costs n * (n - 1) / 2 pairs.
+    """
+    table = materialize(trees(docs, id_col, text_col), "merkle")
+    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "root")
+    # equal trees are looked up once, as their lowest row
+    first = materialize(table.groupBy("root").agg(F.min(order).alias("o"), F.first("sections").alias("sections")), "merkle-roots")
+    leaf = first.select("o", F.explode(_hashes(F.col("sections"))).alias("h")).groupBy("o", "h").agg(F.count("*").alias("n"))
+    earlier = leaf.select("h", F.col("o").alias("b"), F.col("n").alias("m"))
+    pairs = leaf.join(earlier, "h").where("b < o").groupBy("o", "b").agg(F.sum(F.least("n", "m")).alias("shared"))
+    best = pairs.groupBy(F.col("o.root").alias("root")).agg(F.min(F.struct((-F.col("shared")).alias("less"), "b")).alias("x"))
+    best = best.select("root", F.col("x.b").alias("b"), (-F.col("x.less")).alias("shared"))
+    wide = table.join(first.select("root", "o"), "root").join(best, "root", "left")
+    twin = ~F.col("o.doc_id").eqNullSafe(F.col("doc_id"))
+    return wide.select(
+        "doc_id", "root", "sections", "n_paragraphs",
+        F.when(twin, F.col("o.doc_id")).otherwise(F.col("b.doc_id")).alias("base_id"),
+        F.when(twin, F.col("root")).otherwise(F.col("b.root")).alias("base_root"),
+        F.when(twin, F.col("n_paragraphs").cast("bigint")).otherwise(F.col("shared")).alias("shared"),
+        F.when(twin, F.lit(True)).when(F.col("b").isNotNull(), F.lit(False)).alias("equal"),
+    )
+
+
+#: The same as ``compare`` in DuckDB's SQL over ``documents``.
 COMPARE_SQL = r"""
 WITH lines AS (
   SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS p FROM documents

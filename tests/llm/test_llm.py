@@ -149,6 +149,22 @@ def test_merkle_locates_an_edit(spark):
     assert merkle.compare(docs(spark, rows)).count() == len(rows) and merkle.compare(docs(spark, []).limit(0)).isEmpty()
 
 
+def test_merkle_nearest_does_not_need_the_first_paragraph(spark):
+    base = [f"paragraph number {i} of the text" for i in range(40)]
+    rows = [
+        (10, "\n".join(base)), (11, "\n".join(["another start", *base[1:]])), (12, "\n".join(["put before", *base])), (13, "\n".join(base[1:])),
+        (14, "alone"), (15, "\n".join([base[0], "and nothing", "else of it"])), (16, "\n\n".join(base)), (17, "alone\nanother start\n" + "\n".join(base[1:])), *ODD, (None, "alone")
+    ]
+    got = {(r.doc_id, r.n_paragraphs): (r.base_id, r.shared, r.equal) for r in merkle.nearest(docs(spark, rows)).collect()}
+    assert got[11, 40] == (10, 39, False) and got[12, 41] == (10, 40, False) and got[13, 39] == (10, 39, False)
+    assert got[10, 40] == (None, None, None) and got[14, 1] == (None, None, None) and got[15, 3] == (10, 1, False)
+    assert got[16, 40] == (10, 40, True) and got[17, 41] == (11, 40, False)
+    assert got[2, 0] == got[3, 0] == (1, 0, True) and got[1, 0] == got[4, 1] == (None, None, None) and got[5, 1] == (4, 1, True)
+    found = merkle.nearest(docs(spark, rows))
+    assert found.count() == len(rows) and merkle.nearest(docs(spark, []).limit(0)).isEmpty()
+    assert {r.base_id for r in found.where("doc_id is null and base_root is not null").collect()} == {14}
+
+
 # --- 4 sharding --------------------------------------------------------------
 
 
