@@ -22,10 +22,19 @@ the base by any shared paragraph instead: an earlier document of equal root, or
 else the earlier one that shares most paragraphs, of several the lowest
 (doc_id, root).  A document that shares none with an earlier one has no base and
 null for ``equal``.  Rows that agree in id and text get the same answer.
+
+``edits`` gives one run from the first to the last difference, as the SQL does.
+``revisions`` aligns two trees instead, sections first and then the paragraphs
+of sections that have no partner, and lists every run that differs.  A moved
+paragraph is removed in one place and added in another.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from difflib import SequenceMatcher
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,6 +148,63 @@ def nearest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def align(base: list[str], own: list[str]) -> tuple[int, list[tuple[int, int, int]]]:
+    """Sections of ``own`` without a partner, and every run that differs as (first, removed, added).
+
+    ``first`` is the number, from 1, of the run's first paragraph in ``own``, or
+    of the one after the gap where nothing was added.
+    """
+    parts = [[s.split(",") for s in x] for x in (base, own)]
+    lo, most = 0, min(len(base), len(own))
+    while lo < most and base[lo] == own[lo]:
+        lo += 1
+    hi = 0
+    while hi < most - lo and base[len(base) - 1 - hi] == own[len(own) - 1 - hi]:
+        hi += 1
+    changed, runs = 0, []
+    at = sum(map(len, parts[1][:lo]))  # paragraphs of own before this place
+    for tag, a, b, c, d in _blocks(base[lo : len(base) - hi], own[lo : len(own) - hi]):
+        old, new = ([h for s in x[i + lo : j + lo] for h in s] for x, i, j in ((parts[0], a, b), (parts[1], c, d)))
+        if tag != "equal":
+            changed += d - c
+            runs += [(at + k + 1, j - i, m - k) for kind, i, j, k, m in _blocks(old, new) if kind != "equal"]
+        at += len(new)
+    return changed, runs
+
+
+def _blocks(a: list[str], b: list[str]) -> list[tuple[str, int, int, int, int]]:
+    return SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+
+
+_RUNS = pa.list_(pa.struct([("first", pa.int32()), ("removed", pa.int32()), ("added", pa.int32())]))
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [align(a, b) for a, b in zip(batch["base_sections"].to_pylist(), batch["sections"].to_pylist())]
+        runs = [[{"first": f, "removed": r, "added": n} for f, r, n in x] for _, x in found]
+        yield pa.RecordBatch.from_arrays([batch["root"], batch["base_root"], pa.array([n for n, _ in found], pa.int32()), pa.array(runs, _RUNS)], ["root", "base_root", "sections_changed", "edits"])
+
+
+def revisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, root, n_sections, n_paragraphs, base_id, shared, equal, sections_changed, edits) of every row.
+
+    ``edits`` lists every run of paragraphs that differs from the base that
+    ``nearest`` names; it is empty where they are equal and null without a base.
+    """
+    rows = materialize(nearest(docs, id_col, text_col), "merkle-nearest")
+    tree = rows.groupBy("root").agg(F.first("sections").alias("sections"))
+    pairs = rows.where("not equal").select("root", "base_root").distinct().join(tree, "root")
+    pairs = pairs.join(tree.toDF("base_root", "base_sections"), "base_root").select("root", "base_root", "sections", "base_sections")
+    apart = pairs.mapInArrow(_aligned, "root string, base_root string, sections_changed int, edits array<struct<first:int,removed:int,added:int>>")
+    wide = rows.join(apart, ["root", "base_root"], "left")
+    none = F.array().cast("array<struct<first:int,removed:int,added:int>>")
+    return wide.select(
+        "doc_id", "root", F.size("sections").alias("n_sections"), "n_paragraphs", "base_id", "shared", "equal",
+        F.when(F.col("equal"), F.lit(0)).otherwise(F.col("sections_changed")).alias("sections_changed"), F.when(F.col("equal"), none).otherwise(F.col("edits")).alias("edits"),
+    )
+
+
 #: The same as ``compare`` in DuckDB's SQL over ``documents``.
 COMPARE_SQL = r"""
 WITH lines AS (

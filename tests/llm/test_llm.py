@@ -165,6 +165,37 @@ def test_merkle_nearest_does_not_need_the_first_paragraph(spark):
     assert {r.base_id for r in found.where("doc_id is null and base_root is not null").collect()} == {14}
 
 
+def test_merkle_lists_every_edit(spark):
+    base = [f"paragraph number {i} of the text" for i in range(300)]
+    edited = [*base[:5], "a new one", *base[6:150], *base[152:290], "put in", "and this", *base[290:]]
+    rows = [(10, "\n".join(base)), (11, "\n".join(edited)), (12, "\n".join(["before", *base])), (13, "\n\n".join(base)), (14, "alone"), *ODD]
+    got = {r.doc_id: r for r in merkle.revisions(docs(spark, rows)).collect()}
+    assert [tuple(e) for e in got[11].edits] == [(6, 1, 1), (151, 2, 0), (289, 0, 2)]
+    assert 0 < got[11].sections_changed < got[11].n_sections / 2 and got[11].base_id == 10
+    assert [tuple(e) for e in got[12].edits] == [(1, 0, 1)] and got[13].edits == [] and got[13].equal
+    assert got[14].edits is None and got[14].base_id is None
+    assert merkle.revisions(docs(spark, rows)).count() == len(rows) and merkle.revisions(docs(spark, []).limit(0)).isEmpty()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("0a 1b c d e".split()), max_size=14), st.lists(st.sampled_from("0a 1b c d e".split()), max_size=14))
+def test_merkle_edits_rebuild_the_document(old, new):
+    def cut(leaves):
+        out, part = [], []
+        for h in leaves:
+            part.append(h)
+            if h[0] in "01":
+                out, part = [*out, ",".join(part)], []
+        return [*out, ",".join(part)] if part else out
+
+    _, runs = merkle.align(cut(old), cut(new))
+    made, used = [], 0
+    for first, removed, added in runs:
+        keep = first - 1 - len(made)
+        made, used = [*made, *old[used : used + keep], *new[first - 1 : first - 1 + added]], used + keep + removed
+    assert [*made, *old[used:]] == new
+
+
 # --- 4 sharding --------------------------------------------------------------
 
 
