@@ -229,15 +229,20 @@ def redact(text: str, found: list[tuple[int, int, str]]) -> str:
 # --- Spark -------------------------------------------------------------------
 
 _FOLD_RANGES = r"\x{00ad}\x{00b2}\x{00b3}\x{00b7}\x{00b9}\x{0131}\x{0250}-\x{02af}\x{0370}-\x{058f}\x{0660}-\x{06f9}\x{0966}-\x{096f}\x{2000}-\x{2bff}\x{3000}-\x{3002}\x{fe00}-\x{fe6f}\x{feff}-\x{ffef}\x{1d400}-\x{1d7ff}\x{1f100}-\x{1f18f}"
-#: Every text that holds an identifier matches one of these (RE2, over whole columns).
+# what Python's \s and \d match; RE2's own are ASCII
+_WS = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_S, _D = f"[{_WS}]", r"\p{Nd}"
+#: Every text that holds an identifier matches one of these (RE2, over whole columns): a text that no
+#: transducer changes holds one as it is, and each change needs a mark that is a seed itself.
 SEEDS = [
-    f"[{_FOLD_RANGES}]",
-    r"@|&#x?0*(?:64|40|46);|&commat;|&period;|%40",
-    r"[0-9][0-9 ().\-]{5,}[0-9]|[0-9]\s*\.\s*[0-9]+\s*\.\s*[0-9]|(?:[0-9A-Fa-f]{1,4}:){7}",
-    r"(?i:[\[({<]\s*(?:at|arroba)\s*[\])}>]|[_\-]at[_\-]|\sat\s+\S{1,63}?(?:\.|\s+(?:dot|punkt|punto|point)\s|\s+\.\s)|[0-9]\s*(?:dot|punkt|punto|point)\s*[0-9])",
-    rf"(?i:(?:{_WORD})[\s,.\-]{{1,3}}(?:(?:{_ITEM}|[0-9])[\s,.\-]{{1,3}})+(?:{_WORD}))",
-    r"(?i:(?:token|secret|key|password|passwd|pwd)[\"']?\s*[:=])|AKIA[0-9A-Z]{16}|gh[pousr]_|sk-",
-    r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}",
+    # U+0130 is an i to Python where case is ignored
+    rf"[{_FOLD_RANGES}\x{{0130}}]",
+    r"@|(?i:&#x?0*(?:64|40|46);|&commat;|&period;)|%40",
+    rf"{_D}[{_D}{_WS}().\-]{{5,}}{_D}|{_D}{_S}*\.{_S}*{_D}+{_S}*\.{_S}*{_D}|(?:[0-9A-Fa-f]{{1,4}}:){{7}}",
+    rf"(?i:[\[({{<]{_S}*(?:at|arroba|{_DOT_WORD}|\.){_S}*[\])}}>]|[_\-](?:at|dot)[_\-]|{_S}at{_S}+\S{{1,63}}?(?:\.|{_S}+(?:dot|punkt|punto|point){_S}|{_S}+\.{_S})|{_D}{_S}*(?:dot|punkt|punto|point){_S}*{_D})",
+    rf"(?i:(?:{_WORD})[{_WS},.\-]{{1,3}}(?:(?:{_ITEM}|{_D})[{_WS},.\-]{{1,3}})+(?:{_WORD}))",
+    rf"(?i:(?:token|secret|key|password|passwd|pwd)[\"']?{_S}*[:=])|AKIA[0-9A-Z]{{16}}|gh[pousr]_|sk-",
+    rf"[A-Z]{{2}}{_D}{{2}} ?[A-Z0-9]{{4}}",
 ]
 
 

@@ -69,6 +69,35 @@ def test_pii_maps_back_whatever_surrounds(before, secret, after):
     assert secret not in pii.redact(text, pii.spans(text))
 
 
+_PYTHON_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
+_SPACED = [
+    "+33 6 12 34 56 78", "212 555 0187", "(212) 555 0187x", "+49 30 1234 567", "10 . 1 . 2 . 3", "10 dot 1 dot 2 dot 3", "10 [ dot ] 1 [ dot ] 2 [ . ] 3",
+    "john.b at example.com", "john at example dot com", "john at example . com", "a.b19 [ at ] x.example.com", "five five five one two three four", "token = 2321bac4d15ec8f9",
+]
+
+
+@pytest.mark.parametrize("space", _PYTHON_SPACES, ids=lambda c: f"U+{ord(c):04X}")
+def test_pii_suspects_with_every_space(space):
+    texts = [t.replace(" ", space) for t in _SPACED]
+    held = [t for t in texts if pii.spans(t)]
+    assert len(held) >= 9 and len(pii.suspects(pa.array(held))) == len(held)
+
+
+@pytest.mark.parametrize("text", ["10[.]1[.]2[.]3", "10_dot_1_dot_2_dot_3", "a.b1&COMMAT;x.example.com", "a.b1&#X40;x.example.com", "john.b at example[dot]com", "+๖๖ ๘๑ ๒๓๔ ๕๖๗๘", "paſſword: abcdefgh1"])
+def test_pii_suspects_with_other_marks(text):
+    assert pii.spans(text) and len(pii.suspects(pa.array([text]))) == 1
+
+
+_BITS = ["1", "22", "333", "4444", "+", ".", "-", "(", ")", "[", "]", "at", "dot", "AT", "punkt", "_", "five", "ZWEI", "un", "x", "ann.b7", "example", "com", "@", ":", "token", "=", "DE89", "๓", *_PYTHON_SPACES, " ", " "]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(_BITS), max_size=24))
+def test_pii_suspects_hold_every_text_with_spans(bits):
+    text = "".join(bits)
+    assert not pii.spans(text) or len(pii.suspects(pa.array([text]))) == 1
+
+
 def test_pii_in_spark(spark):
     table = docs(spark, [*ODD, (7, "write to a.b@c.example.com " * 3), (8, LONG + " z@y.example.com")])
     found = {r.doc_id: r for r in pii.detect(table).collect()}
