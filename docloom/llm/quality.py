@@ -5,15 +5,17 @@ or not, is unlabelled web text.  A small network over dense text statistics
 minimises ``prior * R+(f) + max(0, Ru-(f) - prior * R+-(f))``, the non-negative
 unbiased risk; where the second part is negative the step ascends it.
 
-The class prior is a corpus statistic: the score histograms of all trusted
-positives that training didn't read and of all documents give the largest
-share of positives that no score threshold contradicts (best-bin estimation).
+The class prior is a corpus statistic: the score histograms of the trusted
+positives held out, one in ``HELD`` by hash whatever their number, and of all
+documents give the largest share of positives that no score threshold
+contradicts (best-bin estimation).  Gradient steps read none of those held out.
 Only gradient steps read bounded samples: ``SAMPLE`` positives and as many
 unlabelled documents.
 
 Defined results: a null or blank text scores 0 and isn't kept.  Missing and
-other labels than 1 aren't used.  Without trusted positives everything with a
-word is kept (score 1), as there is nothing to reject it by.  Repeated rows
+other labels than 1 aren't used.  Without trusted positives, or with fewer than
+two that aren't held out, everything with a word is kept (score 1), as there is
+nothing to reject it by.  Repeated rows
 get equal scores.
 """
 
@@ -32,6 +34,8 @@ from docloom.llm.common import materialize
 
 #: Most trusted positives, and most unlabelled documents, that gradient steps read.
 SAMPLE = 8000
+#: One trusted positive in so many is held out for the prior.
+HELD = 4
 CELLS = 400
 FEATURES = ["caps", "caps_words", "symbols", "marks", "digits", "bars", "spaces", "breaks", "word_length", "long_words", "repeats", "distinct", "same_lines", "marked_words", "ends", "high"]
 _MARK = np.zeros(256, bool)
@@ -196,19 +200,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     good = labels.where(F.col("quality").cast("int") == 1).select(F.col("doc_id").cast("bigint").alias("key")).where("key is not null").distinct().withColumn("held", F.lit(1))
     marked = table.join(good, "key", "left").select("key", "x", F.coalesce("held", F.lit(0)).alias("held"), F.xxhash64("key").alias("h"))
     marked = materialize(marked, "quality-marked")
-    mine = marked.where("held = 1")
-    p = _matrix(mine.orderBy("h", "key").limit(sample))
+    fresh = (F.col("held") == 1) & (F.pmod(F.xxhash64("h", F.lit("prior")), F.lit(HELD)) == 0)
+    p = _matrix(marked.where((F.col("held") == 1) & ~fresh).orderBy("h", "key").limit(sample))
     u = _matrix(marked.orderBy(F.xxhash64("h"), "key").limit(sample))
     if len(p) < 2 or len(u) < 2:
         return Model(None, 1.0)
-    edge = mine.orderBy("h", "key").limit(sample).agg(F.max("h")).first()[0]
     prior, net = 0.5, None
     for _ in range(2):  # the first network ranks well enough to estimate the prior; the second uses it
         net = fit(p, u, prior)
-        # positives that gradients didn't read; all of them where the sample holds them all
-        fresh = mine.where(F.col("h") > F.lit(edge)).isEmpty()
-        held = F.col("held").cast("boolean") & (F.lit(True) if fresh else F.col("h") > F.lit(edge))
-        cells = marked.select("x", held.alias("held")).mapInArrow(_cells(net), "cell bigint, u bigint, p bigint").groupBy("cell").agg(F.sum("u").alias("u"), F.sum("p").alias("p")).toPandas()
+        cells = marked.select("x", fresh.alias("held")).mapInArrow(_cells(net), "cell bigint, u bigint, p bigint").groupBy("cell").agg(F.sum("u").alias("u"), F.sum("p").alias("p")).toPandas()
         hist = np.zeros((2, CELLS))
         hist[0, cells["cell"]], hist[1, cells["cell"]] = cells["p"], cells["u"]
         prior = best_bin_prior(hist[0], hist[1])

@@ -387,6 +387,15 @@ def test_quality_on_held_out_documents(spark):
     assert np.mean([k for k, q in held if q == 1]) >= 0.95 and np.mean([k for k, q in held if q == 0]) <= 0.1
 
 
+def test_quality_holds_out_the_same_positives_at_every_size(spark, monkeypatch):
+    table, labels, _, marks = _labelled(spark, 300)
+    n, seen, prior = sum(q for _, q, _ in marks), [], quality.best_bin_prior
+    monkeypatch.setattr(quality, "best_bin_prior", lambda p, u: seen.append(p.sum()) or prior(p, u))
+    for sample in (n - 1, n, 8000):
+        quality.train(table, labels, sample)
+    assert len(set(seen)) == 1 and n / 8 < seen[0] < n / 2
+
+
 def test_classifiers_odd_rows(spark):
     table, labels, rows, _ = _labelled(spark, 120)
     more = table.unionByName(docs(spark, ODD))
