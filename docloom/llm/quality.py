@@ -9,8 +9,11 @@ The class prior is a corpus statistic: the score histograms of the trusted
 positives held out, one in ``HELD`` by hash whatever their number, and of all
 documents give the largest share of positives that no score threshold
 contradicts (best-bin estimation).  Gradient steps read none of those held out.
-Only gradient steps read bounded samples: ``SAMPLE`` positives and as many
-unlabelled documents.
+
+Small steps over bounded samples, ``SAMPLE`` positives and as many unlabelled
+documents, give each network its start.  Then ``PASSES`` steps follow whose
+unlabelled risk is summed over all documents, and the weights of least risk
+over all documents stay.
 
 Defined results: a null or blank text scores 0 and isn't kept.  Missing and
 other labels than 1 aren't used.  Without trusted positives, or with fewer than
@@ -32,8 +35,10 @@ from pyspark.sql import functions as F
 from docloom.llm import textkit as tk
 from docloom.llm.common import materialize
 
-#: Most trusted positives, and most unlabelled documents, that gradient steps read.
+#: Most trusted positives that gradient steps read, and most unlabelled documents that a network starts from.
 SAMPLE = 8000
+#: Steps over all documents after that.
+PASSES = 15
 #: One trusted positive in so many is held out for the prior.
 HELD = 4
 CELLS = 400
@@ -135,6 +140,50 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
     return net
 
 
+def _sums(net: Net):
+    """For each task the count, loss and gradients of its documents as unlabelled ones, summed: one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 + sum(v.size for v in net.w))
+        for batch in batches:
+            x = np.asarray(batch["x"].flatten(), float).reshape(batch.num_rows, -1)
+            total += loss_sums(net, x[:, 1:])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["sums"])
+
+    return run
+
+
+def loss_sums(net: Net, x: np.ndarray) -> np.ndarray:
+    """Count, summed loss as negatives, and its summed gradients by weight."""
+    x = net.inputs(x)
+    a = np.tanh(x @ net.w[0] + net.w[1])
+    s = 1 / (1 + np.exp(-np.clip(a @ net.w[2] + net.w[3][0], -40, 40)))
+    dz = s * (1 - s)
+    da = dz[:, None] * net.w[2] * (1 - a**2)
+    return np.concatenate([[len(x), s.sum()], (x.T @ da).ravel(), da.sum(0), a.T @ dz, [dz.sum()]])
+
+
+def refine(net: Net, positive: np.ndarray, rows: DataFrame, prior: float, passes: int = PASSES, rate: float = 0.01, decay: float = 1e-3) -> tuple[Net, list[float]]:
+    """``net`` after steps on the risk over all ``rows`` (x), and the risk before each step and after the last."""
+    first, second, risks, best = 0.0, 0.0, [], net
+    for step in range(1, passes + 2):
+        parts = sorted(r.sums for r in rows.select("x").mapInArrow(_sums(net), "sums array<double>").collect())
+        total, p = np.sum(parts, axis=0), loss_sums(net, positive)
+        u, p = total[1:] / max(1.0, total[0]), p[1:] / max(1, len(positive))
+        flat = np.concatenate([v.ravel() for v in net.w])
+        shrunk = np.concatenate([np.full(v.size, float(i in (0, 2))) for i, v in enumerate(net.w)]) * flat
+        risk_n = u[0] - prior * p[0]
+        risks.append(float(prior * (1 - p[0]) + max(0.0, risk_n) + decay / 2 * (shrunk @ flat)))
+        if risks[-1] == min(risks):
+            best = net
+        g = (u[1:] - 2 * prior * p[1:] if risk_n >= 0 else prior * p[1:] - u[1:]) + decay * shrunk
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        flat = flat - rate * (1 - (step - 1) / (passes + 1)) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        cuts = np.cumsum([v.size for v in net.w])[:-1]
+        net = Net(net.mean, net.scale, [v.reshape(old.shape) for v, old in zip(np.split(flat, cuts), net.w)])
+    return best, risks
+
+
 def best_bin_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
     """Largest share of positives that every upper tail of the two score histograms allows.
 
@@ -193,7 +242,7 @@ def _matrix(df: DataFrame) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` positives and unlabelled documents; the prior is of all documents."""
+    """Fit on at most ``sample`` positives and all documents, from a start on ``sample`` of these; the prior is of all documents."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("key"), F.col("text").cast("string").alias("text"))
     table = materialize(own.mapInArrow(_feature_rows, "key bigint, x array<float>"), "quality-features")
     table = table.where("x[0] > 0")
@@ -207,12 +256,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return Model(None, 1.0)
     prior, net = 0.5, None
     for _ in range(2):  # the first network ranks well enough to estimate the prior; the second uses it
-        net = fit(p, u, prior)
+        net, _ = refine(fit(p, u, prior), p, marked, prior)
         cells = marked.select("x", fresh.alias("held")).mapInArrow(_cells(net), "cell bigint, u bigint, p bigint").groupBy("cell").agg(F.sum("u").alias("u"), F.sum("p").alias("p")).toPandas()
         hist = np.zeros((2, CELLS))
         hist[0, cells["cell"]], hist[1, cells["cell"]] = cells["p"], cells["u"]
         prior = best_bin_prior(hist[0], hist[1])
-    net = fit(p, u, prior)
+    net, _ = refine(fit(p, u, prior), p, marked, prior)
     return Model(net, prior)
 
 

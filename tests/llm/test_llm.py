@@ -396,6 +396,32 @@ def test_quality_holds_out_the_same_positives_at_every_size(spark, monkeypatch):
     assert len(set(seen)) == 1 and n / 8 < seen[0] < n / 2
 
 
+def test_quality_risk_is_of_all_documents(spark):
+    rng = np.random.default_rng(1)
+    good, junk, rare = rng.normal(0, 1, (200, 4)), rng.normal(3, 1, (300, 4)), rng.normal([0, 0, 9, -9], 0.5, (15, 4))
+    everything = np.concatenate([good, junk, rare])
+    # a start on documents among which the rare kind isn't
+    net = quality.fit(good, np.concatenate([good, junk]), 0.4, steps=150)
+    rows = spark.createDataFrame([([1.0, *map(float, v)],) for v in everything], "x array<float>").repartition(3)
+    end, risks = quality.refine(net, good, rows, 0.4)
+
+    def risk(n):
+        (_, u, *_), (_, p, *_) = quality.loss_sums(n, everything), quality.loss_sums(n, good)
+        u, p = u / len(everything), p / len(good)
+        return 0.4 * (1 - p) + max(0, u - 0.4 * p) + 5e-4 * sum((n.w[i] ** 2).sum() for i in (0, 2))
+
+    assert len(risks) == quality.PASSES + 1 and risks[0] == pytest.approx(risk(net), abs=1e-6)
+    assert risk(end) == pytest.approx(min(risks), abs=1e-6) and risk(end) < risk(net)
+    assert end.score(rare).mean() < net.score(rare).mean()
+    # the summed gradient is that of the loss
+    base, at = quality.loss_sums(net, everything), 2
+    for i, v in enumerate(net.w):
+        moved = quality.Net(net.mean, net.scale, [w.copy() for w in net.w])
+        moved.w[i].flat[0] += 1e-5
+        assert (quality.loss_sums(moved, everything)[1] - base[1]) / 1e-5 == pytest.approx(base[at], rel=1e-2, abs=1e-3)
+        at += v.size
+
+
 def test_classifiers_odd_rows(spark):
     table, labels, rows, _ = _labelled(spark, 120)
     more = table.unionByName(docs(spark, ODD))
