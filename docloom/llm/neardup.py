@@ -33,8 +33,10 @@ from pyspark.sql.window import Window
 from docloom.llm import textkit as tk
 from docloom.llm.common import materialize
 
-BINS, BANDS, ROWS, BITS = 256, 32, 4, 512
+BINS, BANDS, ROWS, BITS = 256, 64, 4, 512
 THRESHOLD = 0.5
+#: The sketch's estimate may fall this much short of the threshold, so that pairs just over it pass.
+SLACK = 0.08
 SKETCH = [f"s{i}" for i in range(BITS // 64)]
 _SIG = "doc_id bigint, t bigint, node bigint, bands array<bigint>, " + ", ".join(f"{s} bigint" for s in SKETCH)
 
@@ -94,9 +96,9 @@ def similarity(differing: np.ndarray | int) -> np.ndarray:
     return np.clip(1 + BITS / (4 * BINS) * np.log(1 - 2 * z), 0, 1)
 
 
-#: Most differing parities of a pair at THRESHOLD.
+#: Most differing parities of a pair whose estimate is SLACK under the threshold.
 def most_differing(threshold: float) -> int:
-    return int(np.flatnonzero(similarity(np.arange(BITS // 2)) >= threshold)[-1])
+    return int(np.flatnonzero(similarity(np.arange(BITS // 2)) >= max(0.0, threshold - SLACK))[-1])
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

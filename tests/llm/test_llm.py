@@ -529,6 +529,28 @@ def test_neardup_groups_against_brute_force(spark):
     assert all(got[i] == (i // 10 * 10, i % 10 == 0) for i, _ in rows)
 
 
+def test_neardup_recall_from_the_threshold_up():
+    rng, n = np.random.default_rng(6), 300
+    most = neardup.most_differing(neardup.THRESHOLD)
+    texts, exact = [], []
+    for k in range(2 * n):
+        # a run of the base, of varied length, before new words: the pair shares its shingles
+        base = [f"a{k}x{i}" for i in range(200)]
+        keep = int(rng.integers(136, 162)) if k < n else int(rng.integers(85, 110))
+        other = [*base[:keep], *(f"b{k}x{i}" for i in range(200 - keep))]
+        texts += [" ".join(base), " ".join(other)]
+        exact.append((keep - 2) / (2 * 198 - (keep - 2)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "t": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    sig = pa.Table.from_batches(list(neardup._signatures(iter([batch]))))
+    bands = np.array(sig["bands"].to_pylist())
+    sketch = np.stack([sig[s].to_numpy() for s in neardup.SKETCH], 1).view(np.uint64)
+    found = (bands[0::2] == bands[1::2]).any(1) & (np.bitwise_count(sketch[0::2] ^ sketch[1::2]).sum(1) <= most)
+    exact = np.array(exact)
+    near = (exact >= 0.5) & (exact < 0.7)
+    assert near.sum() >= 250 and found[near].mean() >= 0.9 and found[(exact >= 0.5) & (exact < 0.55)].mean() >= 0.85
+    assert found[exact < 0.35].mean() <= 0.1
+
+
 def test_neardup_odd_rows(spark):
     table = docs(spark, [*ODD, (7, "Same TEXT, in two: rows!"), (8, "hi"), (9, "Hi."), (20, LONG + " more")])
     got = neardup.groups(table).collect()
