@@ -2,8 +2,9 @@
 
 A sequence is filled greedily with the longest piece that fits until none does;
 then its smallest piece is replaced by the two unpacked pieces that fill the
-gap, widened by that piece, more tightly, if there are such two.  Lengths are
-characters unless a length column is named.
+gap, widened by that piece, more tightly, if there are such two.  A sequence of
+a single piece keeps it, whatever its gap.  Lengths are characters unless a
+length column is named.
 
 Documents longer than a sequence are first cut into full pieces and a rest;
 full pieces are sequences of their own.  Pieces are dealt by hash to groups of
