@@ -469,7 +469,7 @@ def _brute_two_fit(lengths, capacity):
                 bin_.append(n)
                 pool.remove(n)
                 gap -= n
-        if gap and len(bin_) > 1:
+        if gap:
             least = bin_[-1]
             pairs = [(a + b, max(a, b)) for a, b in itertools.combinations(pool, 2) if least < a + b <= least + gap]
             if pairs:
@@ -488,8 +488,29 @@ def test_two_fit_against_brute_force(lengths):
     assert packing.pack(np.array(lengths, np.int64), 20) == _brute_two_fit(lengths, 20)
 
 
+def test_two_fit_replaces_a_lone_piece():
+    assert packing.pack(np.array([5000, 4100, 4000]), 8192) == [[4100, 4000], [5000]]
+    assert packing.pack(np.array([70, 50, 45]), 100) == [[50, 45], [70]]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=25), st.integers(0, 5))
+def test_two_fit_leaves_room_for_separators(lengths, separator):
+    made = packing._packed(20, separator, False)(pa.table({"doc_id": pa.array(range(len(lengths)), pa.int64()), "start": pa.array([0] * len(lengths), pa.int32()), "length": pa.array(lengths, pa.int32()), "grp": pa.array([0] * len(lengths), pa.int64())}))
+    assert sorted(n for r in made["lengths"].to_pylist() for n in r) == sorted(lengths)
+    assert all(u == sum(n) + separator * (len(n) - 1) <= 20 for u, n in zip(made["used"].to_pylist(), made["lengths"].to_pylist()))
+
+
+def test_packing_by_a_length_column(spark):
+    table = docs(spark, [*ODD, (9, "x")]).withColumn("tokens", F.expr("case doc_id when 4 then 700 when 5 then 1500 when 9 then -1 when 6 then null else 0 end"))
+    out = packing.sequences(table, capacity=1000, length_col="tokens").collect()
+    assert sorted((i, s, n) for r in out for i, s, n in zip(r.doc_ids, r.starts, r.lengths)) == [(4, 0, 700), (4, 0, 700), (5, 0, 1000), (5, 1000, 500)]
+    with pytest.raises(ValueError, match="exclude"):
+        packing.sequences(table, length_col="tokens", keep_text=True)
+
+
 def test_packing_in_spark(spark):
-    rows = [*ODD, *((100 + i, "z" * (1 + i * 37 % 900)) for i in range(300))]
+    rows = [*ODD, *((100 + i, "z" * (1 + i * 37 % 900)) for i in range(300)), (99, "é\n\U0001f600" * 900)]
     table = docs(spark, rows)
     out = packing.sequences(table, capacity=1000, group=20_000, keep_text=True).collect()
     parts = [(i, s, n, t) for r in out for i, s, n, t in zip(r.doc_ids, r.starts, r.lengths, r.texts)]
