@@ -162,8 +162,8 @@ def _covered(terms: np.ndarray):
     return run
 
 
-def learn_lexicon(sample: DataFrame, most: int = 4000) -> Lexicon:
-    """Terms for ``sample`` (key, text, toxic); at most ``most`` candidates reach the driver."""
+def learn_lexicon(sample: DataFrame) -> Lexicon:
+    """Terms for ``sample`` (key, text, toxic); all candidates are of these labelled documents, whose number is bounded."""
     totals = dict(sample.groupBy("toxic").count().collect())
     nt, nc = totals.get(1, 0), totals.get(0, 0)
     if not nt or not nc:
@@ -171,7 +171,7 @@ def learn_lexicon(sample: DataFrame, most: int = 4000) -> Lexicon:
     least = max(3, 0.004 * nt)
     counts = sample.mapInArrow(_doc_terms, "term bigint, stem boolean, t bigint, c bigint").groupBy("term", "stem").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     odds = ((F.col("t") + 0.5) / (nt + 1)) / ((F.col("c") + 0.5) / (nc + 1))
-    found = counts.where((F.col("t") >= least) & (odds >= 20)).orderBy(F.desc("t"), "c", "term").limit(most).collect()
+    found = counts.where((F.col("t") >= least) & (odds >= 20)).collect()
     if not found:
         return Lexicon()
     stem = {r.term & 0xFFFFFFFFFFFFFFFF: r.stem for r in found}
