@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.llm import textkit as tk
 from docloom.llm.common import materialize
@@ -153,6 +154,16 @@ def _sums(net: Net):
     return run
 
 
+def _total(rows: DataFrame, net: Net) -> np.ndarray:
+    """``_sums`` over all tasks: added up in Spark, as decimals, so that their order doesn't matter and the driver gets one row a number."""
+    parts = rows.select("x").mapInArrow(_sums(net), "sums array<double>").select(F.posexplode("sums").alias("i", "v"))
+    found = parts.groupBy("i").agg(F.sum(F.col("v").cast("decimal(38,15)")).cast("double").alias("v")).collect()
+    out = np.zeros(2 + sum(v.size for v in net.w))
+    for r in found:
+        out[r.i] = r.v
+    return out
+
+
 def loss_sums(net: Net, x: np.ndarray) -> np.ndarray:
     """Count, summed loss as negatives, and its summed gradients by weight."""
     x = net.inputs(x)
@@ -167,8 +178,7 @@ def refine(net: Net, positive: np.ndarray, rows: DataFrame, prior: float, passes
     """``net`` after steps on the risk over all ``rows`` (x), and the risk before each step and after the last."""
     first, second, risks, best = 0.0, 0.0, [], net
     for step in range(1, passes + 2):
-        parts = sorted(r.sums for r in rows.select("x").mapInArrow(_sums(net), "sums array<double>").collect())
-        total, p = np.sum(parts, axis=0), loss_sums(net, positive)
+        total, p = _total(rows, net), loss_sums(net, positive)
         u, p = total[1:] / max(1.0, total[0]), p[1:] / max(1, len(positive))
         flat = np.concatenate([v.ravel() for v in net.w])
         shrunk = np.concatenate([np.full(v.size, float(i in (0, 2))) for i, v in enumerate(net.w)]) * flat
@@ -201,11 +211,20 @@ def best_bin_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float =
     return float(np.clip(u[ok][k] / p[ok][k], 0.01, 0.99))
 
 
-def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x = features(batch["text"]).astype(np.float32)
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-        yield pa.RecordBatch.from_arrays([batch["key"], flat], ["key", "x"])
+def _featured(docs: DataFrame, text_col: str = "text", drop_text: bool = False) -> tuple[DataFrame, str]:
+    """``docs`` (without its text, if told so) with features in a column of a name that they don't have, written once: training and scoring read these."""
+    name = "x"
+    while name in docs.columns:
+        name = f"_{name}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = features(batch[text_col].cast(pa.string())).astype(np.float32)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept.names), flat], [*kept.names, name])
+
+    kept = T.StructType([f for f in docs.schema if not (drop_text and f.name == text_col)])
+    return materialize(docs.mapInArrow(run, T.StructType([*kept, T.StructField(name, T.ArrayType(T.FloatType()))])), "quality-features"), name
 
 
 def _cells(net: Net):
@@ -228,24 +247,25 @@ class Model:
     #: Scores above this are kept.
     cut: float = 0.5
 
-    def score(self, texts: pa.Array) -> np.ndarray:
-        x = features(texts)
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Scores of rows of ``features``."""
         if self.net is None:
             return (x[:, 0] > 0).astype(float)
         s = 1 / (1 + np.exp(-np.clip(self.net.score(x[:, 1:]), -40, 40)))
         return np.where(x[:, 0] > 0, s, 0.0)
 
+    def score_lists(self, x: pa.Array) -> np.ndarray:
+        return self.score(np.asarray(x.flatten(), float).reshape(len(x), len(FEATURES) + 1))
+
 
 def _matrix(df: DataFrame) -> np.ndarray:
     found = df.select("x").toPandas()["x"]
     return np.stack(found.to_numpy()).astype(float)[:, 1:] if len(found) else np.zeros((0, len(FEATURES)))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` positives and all documents, from a start on ``sample`` of these; the prior is of all documents."""
-    own = docs.select(F.col("doc_id").cast("bigint").alias("key"), F.col("text").cast("string").alias("text"))
-    table = materialize(own.mapInArrow(_feature_rows, "key bigint, x array<float>"), "quality-features")
-    table = table.where("x[0] > 0")
+def train(featured: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """Fit ``featured`` (key, x) on at most ``sample`` positives and all documents, from a start on ``sample`` of these; the prior is of all documents."""
+    table = featured.where("x[0] > 0")
     good = labels.where(F.col("quality").cast("int") == 1).select(F.col("doc_id").cast("bigint").alias("key")).where("key is not null").distinct().withColumn("held", F.lit(1))
     marked = table.join(good, "key", "left").select("key", "x", F.coalesce("held", F.lit(0)).alias("held"), F.xxhash64("key").alias("h"))
     marked = materialize(marked, "quality-marked")
@@ -267,23 +287,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, quality, keep) of every row of ``docs``."""
-    model = train(docs, labels, sample)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("key"), F.col("text").cast("string").alias("text"))
+    table, _ = _featured(rows, drop_text=True)
+    model = train(table, labels, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = model.score(batch["text"])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(s), pa.array(s > model.cut)], ["doc_id", "quality", "keep"])
+            s = model.score_lists(batch["x"])
+            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(s), pa.array(s > model.cut)], ["doc_id", "quality", "keep"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, quality double, keep boolean")
+    return table.mapInArrow(run, "doc_id bigint, quality double, keep boolean")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps; columns as they are."""
-    model = train(docs, labels, sample)
+    table, x = _featured(docs)
+    model = train(table.select(F.col("doc_id").cast("bigint").alias("key"), F.col(x).alias("x")), labels, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(model.score(batch["text"].cast(pa.string())) > model.cut))
+            kept = batch.filter(pa.array(model.score_lists(batch[x]) > model.cut))
+            yield pa.RecordBatch.from_arrays(kept.columns[:-1], kept.schema.names[:-1])
 
-    return docs.mapInArrow(run, docs.schema)
+    return table.mapInArrow(run, docs.schema)

@@ -392,7 +392,7 @@ def test_quality_holds_out_the_same_positives_at_every_size(spark, monkeypatch):
     n, seen, prior = sum(q for _, q, _ in marks), [], quality.best_bin_prior
     monkeypatch.setattr(quality, "best_bin_prior", lambda p, u: seen.append(p.sum()) or prior(p, u))
     for sample in (n - 1, n, 8000):
-        quality.train(table, labels, sample)
+        quality.classify(table, labels, sample)
     assert len(set(seen)) == 1 and n / 8 < seen[0] < n / 2
 
 
