@@ -6,11 +6,15 @@ optimal densification) of its three-word shingles.  ``BANDS`` bands of
 into a bitmap of ``BITS`` parities, verifies them: the population count of
 the XOR of two sketches estimates the number of samples that differ.
 
-Within a bucket the comparison is leader by leader: the first document of the
-bucket is held against all others, those it doesn't match are held against the
-first of themselves, and so on until none is left.  No bucket is cut off and a
-bucket of n copies costs n comparisons.  Verified edges are joined to groups by
-alternating large-star and small-star steps.
+Texts of equal words are one node, however many copies there are.  Within a
+bucket every node is held against every other that isn't yet connected to it,
+so no verified link between different texts of a bucket is lost, and edges are
+put out that span what is connected instead of all its pairs.  A bucket of more
+than ``BLOCK`` nodes is dealt to many workers as pairs of blocks.  Edges are
+joined to groups by alternating large-star and small-star steps.
+
+Within a group all pairs of nodes are counted, in blocks as well: ``n_links``
+is the number of other texts of the group whose sketches verify with a row's own.
 
 Defined results: texts are compared as lower-cased words, so case, punctuation
 and white space don't count.  Equal word sequences always share a group.
@@ -18,6 +22,7 @@ Documents without a word (null, empty, blanks) and each row with a null text
 are groups of their own.  A document of one or two words is one shingle.
 Repeated rows are copies like any others.  The representative of a group is its
 lowest (doc_id, text hash), null ids last; of several such rows one is kept.
+Copies share their number of links and aren't links of each other.
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ BINS, BANDS, ROWS, BITS = 256, 64, 4, 512
 THRESHOLD = 0.5
 #: The sketch's estimate may fall this much short of the threshold, so that pairs just over it pass.
 SLACK = 0.08
+#: Nodes of a bucket or group that one worker holds against each other at a time.
+BLOCK = 8192
 SKETCH = [f"s{i}" for i in range(BITS // 64)]
 _SIG = "doc_id bigint, t bigint, node bigint, bands array<bigint>, " + ", ".join(f"{s} bigint" for s in SKETCH)
 
@@ -122,54 +129,179 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("t"), "text").mapInArrow(_signatures, _SIG)
 
 
-def _leaders(most: int):
-    def edges(node: np.ndarray, group: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (leader, member) with at most ``most`` differing parities; rows are sorted by group."""
-        left, right = [], []
-        rows = np.arange(len(node))
-        while len(rows):
-            g = group[rows]
-            new = np.r_[True, g[1:] != g[:-1]]
-            lead = rows[new][np.cumsum(new) - 1]
-            near = np.bitwise_count(sketch[rows] ^ sketch[lead]).sum(1) <= most
-            hit = near & ~new
-            left.append(node[lead[hit]])
-            right.append(node[rows[hit]])
-            rows = rows[~near & ~new]
-        return np.concatenate(left or [node[:0]]), np.concatenate(right or [node[:0]])
+def _near(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """(rows of a, rows of b): do the sketches agree enough?"""
+    differ = np.zeros((len(a), len(b)), np.uint16)
+    for i in range(a.shape[1]):
+        differ += np.bitwise_count(a[:, None, i] ^ b[None, :, i])
+    return differ <= most
+
+
+def _pairs(size: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs i < j of rows within groups of such sizes that begin at such rows."""
+    n = size * (size - 1) // 2
+    group = np.repeat(np.arange(len(size)), n)
+    k = np.arange(len(group)) - (np.cumsum(n) - n)[group]
+    # k-th pair of a group: j with j (j - 1) / 2 <= k
+    j = ((1 + np.sqrt(8.0 * k + 1)) / 2).astype(np.int64)
+    j -= j * (j - 1) // 2 > k
+    return first[group] + k - j * (j - 1) // 2, first[group] + j
+
+
+#: Groups of at most so many rows are compared together, a million pairs at a time.
+SMALL, TOGETHER = 64, 1 << 20
+
+
+def _small(size: np.ndarray, first: np.ndarray, sketch: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Verified pairs of rows of the small groups."""
+    own = np.flatnonzero((size > 1) & (size <= SMALL))
+    part = np.cumsum(size[own] * (size[own] - 1) // 2) // TOGETHER
+    for cut in np.split(own, np.flatnonzero(np.diff(part)) + 1):
+        i, j = _pairs(size[cut], first[cut])
+        near = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1) <= most
+        yield i[near], j[near]
+
+
+def _forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (root, row) that connect what the pairs connect."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    row = np.flatnonzero(label != np.arange(n))
+    return label[row], row
+
+
+def connected(sketch: np.ndarray, most: int, tile: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Verified pairs of rows that span every connected part: each row is held against all not yet connected to it."""
+    left, right, rest = [], [], np.arange(len(sketch))
+    while len(rest):
+        todo, rest = [rest[:1]], rest[1:]
+        while todo and len(rest):
+            own = todo.pop()
+            for a in range(0, len(own), tile):
+                near = _near(sketch[own[a : a + tile]], sketch[rest], most)
+                hit = near.any(0)
+                if hit.any():
+                    left.append(own[a + near[:, hit].argmax(0)])
+                    right.append(rest[hit])
+                    todo.append(rest[hit])
+                    rest = rest[~hit]
+                if not len(rest):
+                    break
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _grouped(out, key: str):
+    """A kernel that gives ``out`` tables of whole groups of rows sorted by ``key``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            held.append(batch)
-            key = batch["bucket"].to_numpy(zero_copy_only=False)
-            last = int(np.searchsorted(key, key[-1], "left"))
-            if len(held) == 1 and last == 0 or last == 0 and held[0]["bucket"][0].as_py() == key[0]:
-                continue  # one bucket so far: wait for its end
-            table = pa.Table.from_batches([*held[:-1], batch.slice(0, last)])
-            held = [batch.slice(last)]
-            yield from out(table)
+            if not batch.num_rows:
+                continue
+            keys = batch[key].to_numpy(zero_copy_only=False)
+            last = int(np.searchsorted(keys, keys[-1], "left"))
+            if last == 0 and held and held[-1][key][-1].as_py() != keys[0]:
+                yield from out(pa.Table.from_batches(held))
+                held = []
+            elif last:
+                yield from out(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
         if held:
             yield from out(pa.Table.from_batches(held))
 
+    return run
+
+
+def _matrix(table: pa.Table) -> np.ndarray:
+    return np.stack([table[s].to_numpy() for s in SKETCH], 1).view(np.uint64)
+
+
+def _sizes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return np.diff(np.r_[first, len(key)]), first
+
+
+def _edges(most: int):
     def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        node = table["node"].to_numpy()
-        sketch = np.stack([table[s].to_numpy() for s in SKETCH], 1).view(np.uint64)
-        a, b = edges(node, table["bucket"].to_numpy(), sketch)
-        if len(a):
-            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+        node, sketch = table["node"].to_numpy(), _matrix(table)
+        size, first = _sizes(table["bucket"].to_numpy())
+        found = [(node[a], node[b]) for a, b in (_forest(len(node), i, j) for i, j in _small(size, first, sketch, most))]
+        for n, at in zip(size[size > SMALL], first[size > SMALL]):
+            i, j = connected(sketch[at : at + n], most)
+            found.append((node[at + i], node[at + j]))
+        for a, b in found:
+            if len(a):
+                pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+
+    return _grouped(out, "bucket")
 
-    return run
 
+def _in_blocks(rows: DataFrame, key: str, n: str, block: int) -> DataFrame:
+    """``rows`` of groups ``key`` of ``n`` rows, those of large groups once for each pair of blocks they are in.
 
-def candidate_edges(sig: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Verified pairs (a, b) of nodes that share a bucket, a < b."""
+    The key becomes one of the pair; ``blk`` is a row's block (0 in small groups).
+    """
+    blocks = F.ceil(F.col(n) / block).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int")
+    spread = rows.withColumn("blk", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    pair = F.when(F.col(n) > block, F.xxhash64(key, F.least("blk", "other"), F.greatest("blk", "other"))).otherwise(F.col(key))
+    return spread.withColumn(key, pair).drop(n, "other")
+
+
+def candidate_edges(sig: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """Verified pairs (a, b) of nodes, a < b, that connect all nodes of a bucket that verified pairs connect."""
     nodes = sig.where("node is not null").dropDuplicates(["node"]).select("node", "bands", *SKETCH)
     bucket = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = bucket.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1").select("bucket", "node")
-    wide = shared.join(nodes.select("node", *SKETCH), "node").repartition("bucket").sortWithinPartitions("bucket", "node")
-    return wide.mapInArrow(_leaders(most_differing(threshold)), "a bigint, b bigint").distinct()
+    shared = bucket.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1").select("bucket", "node", "n")
+    spread = _in_blocks(shared, "bucket", "n", block).drop("blk")
+    wide = spread.join(nodes.select("node", *SKETCH), "node").repartition("bucket").sortWithinPartitions("bucket", "node")
+    return wide.mapInArrow(_edges(most_differing(threshold)), "a bigint, b bigint").distinct()
+
+
+def _degrees(most: int):
+    def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, sketch, blk = table["node"].to_numpy(), _matrix(table), table["blk"].to_numpy()
+        size, first = _sizes(table["pair"].to_numpy())
+        degree = np.zeros(len(node), np.int64)
+        for i, j in _small(size, first, sketch, most):
+            both = table["cross"].to_numpy(zero_copy_only=False)[i]
+            keep = ~both | (blk[i] != blk[j])
+            degree += np.bincount(np.r_[i[keep], j[keep]], minlength=len(node))
+        for n, at in zip(size[size > SMALL], first[size > SMALL]):
+            own = slice(at, at + n)
+            cross = bool(table["cross"][int(at)].as_py())
+            for a in range(at, at + n, 256):
+                z = slice(a, min(a + 256, at + n))
+                near = _near(sketch[z], sketch[own], most)
+                if cross:
+                    near &= blk[z, None] != blk[None, own]
+                degree[z] += near.sum(1) - (0 if cross else 1)  # itself
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(degree)], ["node", "links"])
+
+    return _grouped(out, "pair")
+
+
+def links(sig: DataFrame, comp: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """(node, n_links): verified links of each node of a group of several to the group's other nodes."""
+    member = comp.select("node", "root").unionByName(comp.select(F.col("root").alias("node"), "root").distinct())
+    size = member.groupBy("root").agg(F.count("*").alias("n"))
+    nodes = sig.where("node is not null").dropDuplicates(["node"]).select("node", *SKETCH)
+    spread = member.join(size, "root").withColumn("pair", F.col("root")).withColumn("m", F.col("n"))
+    spread = _in_blocks(spread, "pair", "n", block)
+    # a pair of two blocks counts what lies across, that of a block with itself what lies inside
+    spread = spread.withColumn("cross", (F.col("m") > block) & (F.col("pair") != F.xxhash64("root", "blk", "blk"))).select("pair", "cross", "blk", "node")
+    wide = spread.join(nodes, "node").repartition("pair").sortWithinPartitions("pair", "node")
+    return wide.mapInArrow(_degrees(most_differing(threshold)), "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("n_links"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -194,27 +326,33 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, t, group_id, group_rows, keep): one row per input row.
+def groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
+    """(doc_id, t, group_id, group_rows, n_links, keep): one row per input row.
 
     ``group_id`` is the lowest doc_id of the near-duplicate group, ``group_rows``
-    its number of rows and ``keep`` true on exactly one row of each group.
+    its number of rows, ``n_links`` the number of its other texts that verify
+    with this one and ``keep`` true on exactly one row of each group.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sig = materialize(signatures(docs), "signatures")
     comp = components(candidate_edges(sig, threshold))
     # rows equal in id and text are counted, not kept apart, so that each decision has one row
     rows = sig.groupBy("doc_id", "t", "node").agg(F.count("*").alias("copies"))
-    member = rows.where("node is not null").join(comp, "node", "left").select("doc_id", "t", "copies", F.coalesce("root", "node").alias("root"))
+    none = F.lit(0).cast("bigint")
+    known = comp.withColumn("n_links", none)
+    if count_links:
+        # a group's root is in no row of comp as a node
+        known = links(sig, comp, threshold).join(comp, "node", "left")
+    member = rows.where("node is not null").join(known, "node", "left").select("doc_id", "t", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", none).alias("n_links"))
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "t")
     best = member.groupBy("root").agg(F.min(order).alias("o"), F.sum("copies").alias("group_rows"))
-    grouped = member.join(best, "root").select("doc_id", "t", "copies", F.col("o.doc_id").alias("group_id"), "group_rows", ((F.col("o.t") == F.col("t")) & F.col("o.doc_id").eqNullSafe(F.col("doc_id"))).alias("first"))
-    alone = rows.where("node is null").select("doc_id", "t", "copies", F.col("doc_id").alias("group_id"), F.lit(1).cast("bigint").alias("group_rows"), F.lit(True).alias("first"))
+    grouped = member.join(best, "root").select("doc_id", "t", "copies", F.col("o.doc_id").alias("group_id"), "group_rows", "n_links", ((F.col("o.t") == F.col("t")) & F.col("o.doc_id").eqNullSafe(F.col("doc_id"))).alias("first"))
+    alone = rows.where("node is null").select("doc_id", "t", "copies", F.col("doc_id").alias("group_id"), F.lit(1).cast("bigint").alias("group_rows"), none.alias("n_links"), F.lit(True).alias("first"))
     each = F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("k")
     return (
         grouped.withColumn("blank", F.lit(False)).union(alone.withColumn("blank", F.lit(True)))
         .select("*", each)
-        .select("doc_id", "t", "group_id", "group_rows", (F.col("first") & (F.col("blank") | (F.col("k") == 1))).alias("keep"))
+        .select("doc_id", "t", "group_id", "group_rows", "n_links", (F.col("first") & (F.col("blank") | (F.col("k") == 1))).alias("keep"))
     )
 
 
@@ -226,7 +364,7 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "do
     """
     names = docs.columns
     key_id, key_text, rows, keep = (f"__nd_{x}" for x in ("id", "t", "rows", "keep"))
-    found = groups(docs, threshold, id_col, text_col).groupBy("doc_id", "t").agg(F.count("*").alias(rows), F.sum(F.col("keep").cast("bigint")).alias(keep))
+    found = groups(docs, threshold, id_col, text_col, count_links=False).groupBy("doc_id", "t").agg(F.count("*").alias(rows), F.sum(F.col("keep").cast("bigint")).alias(keep))
     decided = materialize(found.where(f"{rows} <> {keep}").toDF(key_id, key_text, rows, keep), "decided")
     hashed = f"{key_text}_of_row"
     keyed = docs.withColumn(hashed, F.xxhash64(F.col(text_col).cast("string")))

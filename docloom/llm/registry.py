@@ -57,7 +57,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.groups(_table(spark, sf_dir, "documents")).select("doc_id", "group_id", "group_rows", "keep")
+    return neardup.groups(_table(spark, sf_dir, "documents")).select("doc_id", "group_id", "group_rows", "n_links", "keep")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

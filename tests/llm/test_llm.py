@@ -550,6 +550,67 @@ def test_neardup_groups_against_brute_force(spark):
     assert all(got[i] == (i // 10 * 10, i % 10 == 0) for i, _ in rows)
 
 
+def _chain_rows():
+    """Texts of which neighbours are near and the ends aren't, in one run and next to strangers."""
+    words = _words(400, 77)
+    chain = [(200 + k, " ".join(words[40 * k : 40 * k + 160])) for k in range(6)]
+    return [*chain, (300, "nothing like the rest of these texts at all"), (301, chain[0][1].upper() + "!")]
+
+
+def _brute_links(spark, rows):
+    """Links of different texts by holding all sketches against each other."""
+    sig = {r.node: np.array([r[s] for s in neardup.SKETCH]).view(np.uint64) for r in neardup.signatures(docs(spark, rows)).where("node is not null").collect()}
+    most, nodes = neardup.most_differing(neardup.THRESHOLD), sorted(sig)
+    return {(a, b) for a in nodes for b in nodes if a < b and np.bitwise_count(sig[a] ^ sig[b]).sum() <= most}
+
+
+@pytest.mark.parametrize("block", [neardup.BLOCK, 3])
+def test_neardup_loses_no_link_of_a_bucket(spark, monkeypatch, block):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, (4, len(neardup.SKETCH)), dtype=np.uint64)
+    flip = lambda v, k: v ^ np.array([np.uint64(1) << np.uint64(i) if i < k else 0 for i in range(8)], np.uint64)
+    rows = [flip(base[i % 4], k) for i in range(4) for k in range(3)] + [rng.integers(0, 2**63, 8, dtype=np.uint64) for _ in range(5)]
+    # a chain: each has more flipped bits than the one before, by less than the bound
+    most = neardup.most_differing(neardup.THRESHOLD)
+    chain = np.zeros(512, np.uint8)
+    for k in range(6):
+        chain[: k * (most - 5)] = 1
+        rows.append(np.packbits(chain, bitorder="little").view(np.uint64) ^ base[0])
+        chain[:] = 0
+    for repeat in (1, 5):  # small groups and large ones take different ways
+        sketch = np.array(rows * repeat, np.uint64)
+        near = np.bitwise_count(sketch[:, None] ^ sketch[None]).sum(2) <= most
+        want = neardup._forest(len(sketch), *np.nonzero(near))
+        for got in (neardup.connected(sketch, most, 4), *([neardup._forest(len(sketch), *x) for x in neardup._small(np.array([len(sketch)]), np.array([0]), sketch, most)] if repeat == 1 else [])):
+            assert [x.tolist() for x in neardup._forest(len(sketch), *got)] == [x.tolist() for x in want]
+    nodes = [(i, [7, 100 + i % 3], *map(int, r.view(np.int64))) for i, r in enumerate(np.array(rows, np.uint64))]
+    table = spark.createDataFrame(nodes, "node bigint, bands array<bigint>, " + ", ".join(f"{s} bigint" for s in neardup.SKETCH))
+    near = np.bitwise_count(np.array(rows)[:, None] ^ np.array(rows)[None]).sum(2) <= most
+    comp = {r.node: r.root for r in neardup.components(neardup.candidate_edges(table, block=block)).collect()}
+    root, row = neardup._forest(len(rows), *np.nonzero(near))
+    assert comp == dict(zip(row.tolist(), root.tolist()))
+    got = {r.node: r.n_links for r in neardup.links(table, spark.createDataFrame(list(comp.items()), "node bigint, root bigint"), block=block).collect()}
+    assert got == {i: int(near[i].sum()) - 1 for i in {*comp, *comp.values()}}
+
+
+def test_neardup_chains_and_links_against_brute_force(spark):
+    rows = [*_near_rows(), *_chain_rows()]
+    found = neardup.groups(docs(spark, rows)).collect()
+    edges, node = _brute_links(spark, rows), {r.doc_id: r.node for r in neardup.signatures(docs(spark, rows)).collect()}
+    degree = {n: sum(n in e for e in edges) for n in node.values()}
+    got = {r.doc_id: r for r in found}
+    assert {i: r.n_links for i, r in got.items()} == {i: degree[n] for i, n in node.items()}
+    # the ends of the chain are no links, and in one group
+    assert (min(node[200], node[205]), max(node[200], node[205])) not in edges and {got[200 + k].group_id for k in range(6)} == {200}
+    assert got[301].group_id == 200 and got[301].n_links == got[200].n_links and got[300].group_id == 300 and got[300].n_links == 0
+    # all pairs of these texts by their exact Jaccard similarity
+    grams = {i: {tuple(w[k : k + 3]) for k in range(len(w) - 2)} for i, t in rows if (w := re.findall(r"[a-z]+", t.lower()))}
+    for i, a in grams.items():
+        for j, b in grams.items():
+            if i < j and len(a & b) / len(a | b) >= 0.6:
+                assert got[i].group_id == got[j].group_id
+
+
 def test_neardup_recall_from_the_threshold_up():
     rng, n = np.random.default_rng(6), 300
     most = neardup.most_differing(neardup.THRESHOLD)
