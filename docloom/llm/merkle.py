@@ -6,31 +6,32 @@ eighth, so that sections realign after an insertion.  A section's hash covers
 its paragraphs' hashes and the root covers the sections' hashes; all are the
 first 128 bits of SHA-256, as hexadecimal digits.
 
-Equal roots mean equal documents.  To locate edits, two trees are descended:
-branches that agree from either end are skipped, first whole sections and then
-the paragraphs of those that remain, which leaves the run of paragraphs that
-differ.  Trees are built within a row; only hashes are moved, never texts.
+Equal roots mean equal documents.  Every document is compared with a base, the
+earlier document in which most of its paragraphs appear first: each paragraph
+hash names the lowest (doc_id, root) that holds it, and the paragraphs of a
+document are counted by what they name.  A paragraph that many documents share
+costs a row a document and no pairs.
+
+To locate edits the two trees are descended: sections whose hashes both trees
+hold are skipped, equal ones as often as both hold them (the first ones), and
+what remains of the paragraphs is held against each other in the same way.
+The numbers of the paragraphs left over are listed for both documents.  Trees
+are built within a row; only hashes are moved, never texts.
 
 Defined results: a null text has the tree of an empty one: the root of no
-sections.  Repeated rows have equal roots.  A document's base is the lowest
-(doc_id, root) of those with its first paragraph, null ids last; documents
-without a paragraph, and with a paragraph of their own, have themselves as the
-base and no edit.  Copies that share id and root with the base count as equal.
-
-``compare`` is held against SQL, which fixes these bases.  ``nearest`` looks for
-the base by any shared paragraph instead: an earlier document of equal root, or
-else the earlier one that shares most paragraphs, of several the lowest
-(doc_id, root).  A document that shares none with an earlier one has no base and
-null for ``equal``.  Rows that agree in id and text get the same answer.
-
-``edits`` gives one run from the first to the last difference, as the SQL does.
-``revisions`` aligns two trees instead, sections first and then the paragraphs
-of sections that have no partner, and lists every run that differs.  A moved
-paragraph is removed in one place and added in another.
+sections.  Repeated rows have equal roots; rows that agree in id and text get
+the same answer.  The base of a document with an earlier equal one is the lowest
+of these, ``equal`` is true and nothing has changed.  Of several bases that
+share equally many paragraphs the lowest (doc_id, root) is taken, null ids last.  A
+document that shares no paragraph with an earlier one has no base, and null for all that is
+said of one.  A moved section or paragraph is no edit of ``compare``, whose roots
+differ all the same; ``revisions`` aligns the trees in order instead, and lists it
+where it was removed and where it was added.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -67,87 +68,103 @@ def trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return found.select("doc_id", _hash(F.array_join(F.transform("sections", _hash), ",")).alias("root"), "sections", "n_paragraphs")
 
 
-def _agree(a: Column, b: Column) -> Column:
-    """How many leading elements two arrays share."""
-    first = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False))
-    return F.when(first == 0, F.least(F.size(a), F.size(b))).otherwise(first.cast("int") - 1)
-
-
-def _apart(df: DataFrame, a: str, b: str) -> DataFrame:
-    """``df`` with what is left of arrays a and b, and how many elements were skipped before it."""
-    df = df.withColumn("__p", _agree(F.col(a), F.col(b)))
-    rest = F.least(F.size(a), F.size(b)) - F.col("__p")
-    df = df.withColumn("__s", F.least(_agree(F.reverse(a), F.reverse(b)), rest))
-    cut = {x: F.slice(F.col(x), F.col("__p") + 1, F.size(x) - F.col("__p") - F.col("__s")) for x in (a, b)}
-    before = F.slice(F.col(b), F.lit(1), F.col("__p"))
-    return df.withColumn("__before", before).withColumns(cut)
-
-
-def edits(pairs: DataFrame) -> DataFrame:
-    """Where the trees of ``pairs`` (…, sections, base_sections) differ.
-
-    Adds sections_changed (of the document), first_changed (number of its first
-    paragraph in the edit, from 1), removed (paragraphs of the base) and added.
-    """
-    df = _apart(pairs, "base_sections", "sections")
-    count = lambda x: F.size(F.filter(F.split(F.array_join(x, ","), ","), lambda h: h != ""))
-    df = df.withColumn("__skipped", count(F.col("__before"))).withColumn("sections_changed", F.size("sections"))
-    leaves = {x: F.filter(F.split(F.array_join(x, ","), ","), lambda h: h != "") for x in ("sections", "base_sections")}
-    df = _apart(df.withColumns(leaves), "base_sections", "sections")
-    df = df.withColumn("removed", F.size("base_sections")).withColumn("added", F.size("sections"))
-    some = (F.col("removed") > 0) | (F.col("added") > 0)
-    df = df.withColumn("first_changed", F.when(some, F.col("__skipped") + F.col("__p") + 1))
-    return df.drop("__p", "__s", "__before", "__skipped", "sections", "base_sections")
-
-
-def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, root, n_sections, n_paragraphs, base_id, equal, sections_changed, first_changed, removed, added)."""
-    table = materialize(trees(docs, id_col, text_col).withColumn("first", F.substring(F.get("sections", F.lit(0)), 1, 32)), "merkle")
-    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "root")
-    base = table.where("first is not null").groupBy("first").agg(F.min(order).alias("o"), F.count("*").alias("n")).where("n > 1")
-    base = base.select("first", F.col("o.doc_id").alias("base_id"), F.col("o.root").alias("base_root"))
-    wide = table.join(base, "first", "left").withColumn("differs", F.coalesce(F.col("root") != F.col("base_root"), F.lit(False)))
-    plain = ["doc_id", "root", F.size("sections").alias("n_sections"), "n_paragraphs"]
-    with_base = F.coalesce(F.col("base_id"), F.when(F.col("base_root").isNull(), F.col("doc_id"))).alias("base_id")
-    same = wide.where("not differs").select(*plain, with_base, F.lit(True).alias("equal"), *[F.lit(0).alias(x) for x in ("sections_changed", "removed", "added")], F.lit(None).cast("int").alias("first_changed"))
-    # one tree of each base, for the documents that differ from it
-    bases = table.select(F.col("root").alias("base_root"), F.col("sections").alias("base_sections")).join(base.select("base_root").distinct(), "base_root", "left_semi").dropDuplicates(["base_root"])
-    apart = edits(wide.where("differs").select(*plain, "base_id", "base_root", F.lit(False).alias("equal"), "sections").join(bases, "base_root").drop("base_root"))
-    return same.unionByName(apart.select(same.columns))
-
-
 def _hashes(sections: Column) -> Column:
     """The paragraph hashes of a tree's sections."""
     return F.filter(F.split(F.array_join(sections, ","), ","), lambda h: h != "")
 
 
 def nearest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, root, sections, n_paragraphs, base_id, base_root, shared, equal): every row with its nearest earlier document.
+    """(row, doc_id, root, sections, n_paragraphs, first, base, base_id, shared, equal): every row with its base.
 
-    ``shared`` counts the paragraphs both hold.  All pairs of different
-    documents that share a paragraph are counted, so a paragraph of n different
-    documents costs n * (n - 1) / 2 pairs.
+    ``first`` is the row that stands for a document's tree, ``base`` that of its
+    base; ``shared`` counts the document's paragraphs that appear first in the base.
     """
-    table = materialize(trees(docs, id_col, text_col), "merkle")
-    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "root")
-    # equal trees are looked up once, as their lowest row
-    first = materialize(table.groupBy("root").agg(F.min(order).alias("o"), F.first("sections").alias("sections")), "merkle-roots")
-    leaf = first.select("o", F.explode(_hashes(F.col("sections"))).alias("h")).groupBy("o", "h").agg(F.count("*").alias("n"))
-    earlier = leaf.select("h", F.col("o").alias("b"), F.col("n").alias("m"))
-    pairs = leaf.join(earlier, "h").where("b < o").groupBy("o", "b").agg(F.sum(F.least("n", "m")).alias("shared"))
-    best = pairs.groupBy(F.col("o.root").alias("root")).agg(F.min(F.struct((-F.col("shared")).alias("less"), "b")).alias("x"))
-    best = best.select("root", F.col("x.b").alias("b"), (-F.col("x.less")).alias("shared"))
-    wide = table.join(first.select("root", "o"), "root").join(best, "root", "left")
+    table = materialize(trees(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "merkle")
+    # rows that agree in id and root are alike: any of them may stand for all
+    first = table.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")).alias("o"))
+    known = materialize(table.join(first, "root"), "merkle-known")
+    own = known.where("o.row = row").select(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", F.unhex("root").alias("root"), "row").alias("d"), "sections")
+    leaf = own.select("d", F.explode(F.transform(_hashes(F.col("sections")), lambda h: F.unhex(h))).alias("h"))
+    owner = leaf.groupBy("h").agg(F.min("d").alias("b"), F.max("d.row").alias("hi"), F.min("d.row").alias("lo")).where("hi <> lo").select("h", "b")
+    votes = leaf.join(owner, "h").where("b < d").groupBy(F.col("d.row").alias("first"), "b").agg(F.count("*").alias("shared"))
+    best = votes.groupBy("first").agg(F.min(F.struct((-F.col("shared")).alias("less"), "b")).alias("x"))
+    best = best.select("first", F.col("x.b.row").alias("base"), F.col("x.b.doc_id").alias("base_id"), (-F.col("x.less")).alias("shared"))
+    wide = known.withColumn("first", F.col("o.row")).join(best, "first", "left")
     twin = ~F.col("o.doc_id").eqNullSafe(F.col("doc_id"))
     return wide.select(
-        "doc_id", "root", "sections", "n_paragraphs",
-        F.when(twin, F.col("o.doc_id")).otherwise(F.col("b.doc_id")).alias("base_id"),
-        F.when(twin, F.col("root")).otherwise(F.col("b.root")).alias("base_root"),
+        "row", "doc_id", "root", "sections", "n_paragraphs", "first",
+        F.when(twin, F.col("first")).otherwise(F.col("base")).alias("base"), F.when(twin, F.col("o.doc_id")).otherwise(F.col("base_id")).alias("base_id"),
         F.when(twin, F.col("n_paragraphs").cast("bigint")).otherwise(F.col("shared")).alias("shared"),
-        F.when(twin, F.lit(True)).when(F.col("b").isNotNull(), F.lit(False)).alias("equal"),
+        F.when(twin, F.lit(True)).when(F.col("base").isNotNull(), F.lit(False)).alias("equal"),
     )
 
 
+def left_over(own: list[str], other: Counter[str]) -> list[int]:
+    """Places in ``own`` of what ``other`` doesn't hold, or not as often: of equal ones the last."""
+    seen: Counter[str] = Counter()
+    out = []
+    for i, h in enumerate(own):
+        seen[h] += 1
+        if seen[h] > other[h]:
+            out.append(i)
+    return out
+
+
+def differences(base: list[str], own: list[str]) -> tuple[int, list[int], list[int]]:
+    """Sections of ``own`` that ``base`` doesn't hold, and numbers from 1 of the paragraphs only in ``base``, and only in ``own``."""
+    left = []
+    for x, y in ((base, own), (own, base)):
+        gone = set(left_over(x, Counter(y)))
+        n, at = 0, []
+        for k, s in enumerate(x):
+            leaves = s.split(",")
+            if k in gone:
+                at += [(n + j, h) for j, h in enumerate(leaves, 1)]
+            n += len(leaves)
+        left.append((len(gone), at))
+    hashes = [[h for _, h in at] for _, at in left]
+    removed, added = (left_over(x, Counter(y)) for x, y in (hashes, hashes[::-1]))
+    return left[1][0], [left[0][1][i][0] for i in removed], [left[1][1][i][0] for i in added]
+
+
+def spelled(numbers: list[int]) -> str:
+    """1, 2, 3, 7 as '1-3,7'."""
+    out: list[list[int]] = []
+    for n in numbers:
+        if out and out[-1][1] == n - 1:
+            out[-1][1] = n
+        else:
+            out.append([n, n])
+    return ",".join(f"{a}" if a == b else f"{a}-{b}" for a, b in out)
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [differences(a, b) for a, b in zip(batch["base_sections"].to_pylist(), batch["sections"].to_pylist())]
+        ints = [pa.array(x, pa.int32()) for x in ([n for n, *_ in found], [len(r) for _, r, _ in found], [len(a) for *_, a in found])]
+        texts = [pa.array(x, pa.string()) for x in ([spelled(r) for _, r, _ in found], [spelled(a) for *_, a in found])]
+        yield pa.RecordBatch.from_arrays([batch["first"], *ints, *texts], ["first", "sections_changed", "removed", "added", "removed_at", "added_at"])
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(first, sections, base_sections) of every tree that differs from its base."""
+    apart = rows.where("not equal and row = first").select("first", "base", "sections")
+    return apart.join(rows.select(F.col("row").alias("base"), F.col("sections").alias("base_sections")), "base").drop("base")
+
+
+def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, root, n_sections, n_paragraphs, base_id, shared, equal, sections_changed, removed, added, removed_at, added_at) of every row.
+
+    ``removed_at`` and ``added_at`` list numbers of paragraphs, of the base and of
+    the document, as runs like '4,17-19'.
+    """
+    rows = materialize(nearest(docs, id_col, text_col), "merkle-nearest")
+    apart = _pairs(rows).mapInArrow(_compared, "first bigint, sections_changed int, removed int, added int, removed_at string, added_at string")
+    wide = rows.select("doc_id", "root", F.size("sections").alias("n_sections"), "n_paragraphs", "base_id", "shared", "equal", F.when(~F.col("equal"), F.col("first")).alias("first")).join(apart, "first", "left")
+    plain = {"sections_changed": 0, "removed": 0, "added": 0, "removed_at": "", "added_at": ""}
+    return wide.select("doc_id", "root", "n_sections", "n_paragraphs", "base_id", "shared", "equal", *[F.when(F.col("equal"), F.lit(v)).otherwise(F.col(x)).alias(x) for x, v in plain.items()])
+
+
 def align(base: list[str], own: list[str]) -> tuple[int, list[tuple[int, int, int]]]:
     """Sections of ``own`` without a partner, and every run that differs as (first, removed, added).
 
@@ -183,7 +200,7 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [align(a, b) for a, b in zip(batch["base_sections"].to_pylist(), batch["sections"].to_pylist())]
         runs = [[{"first": f, "removed": r, "added": n} for f, r, n in x] for _, x in found]
-        yield pa.RecordBatch.from_arrays([batch["root"], batch["base_root"], pa.array([n for n, _ in found], pa.int32()), pa.array(runs, _RUNS)], ["root", "base_root", "sections_changed", "edits"])
+        yield pa.RecordBatch.from_arrays([batch["first"], pa.array([n for n, _ in found], pa.int32()), pa.array(runs, _RUNS)], ["first", "sections_changed", "edits"])
 
 
 def revisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,11 +210,8 @@ def revisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     ``nearest`` names; it is empty where they are equal and null without a base.
     """
     rows = materialize(nearest(docs, id_col, text_col), "merkle-nearest")
-    tree = rows.groupBy("root").agg(F.first("sections").alias("sections"))
-    pairs = rows.where("not equal").select("root", "base_root").distinct().join(tree, "root")
-    pairs = pairs.join(tree.toDF("base_root", "base_sections"), "base_root").select("root", "base_root", "sections", "base_sections")
-    apart = pairs.mapInArrow(_aligned, "root string, base_root string, sections_changed int, edits array<struct<first:int,removed:int,added:int>>")
-    wide = rows.join(apart, ["root", "base_root"], "left")
+    apart = _pairs(rows).mapInArrow(_aligned, "first bigint, sections_changed int, edits array<struct<first:int,removed:int,added:int>>")
+    wide = rows.withColumn("first", F.when(~F.col("equal"), F.col("first"))).join(apart, "first", "left")
     none = F.array().cast("array<struct<first:int,removed:int,added:int>>")
     return wide.select(
         "doc_id", "root", F.size("sections").alias("n_sections"), "n_paragraphs", "base_id", "shared", "equal",
@@ -215,27 +229,39 @@ secs AS (
     CASE WHEN len(h) = 0 THEN []::VARCHAR[] ELSE list_transform(string_split(
       regexp_replace(array_to_string(list_transform(h, lambda x: x || CASE WHEN x[1] IN ('0', '1') THEN '|' ELSE ',' END), ''), '[|,]$', ''), '|'), lambda s: rtrim(s, ',')) END AS s
   FROM leaves
-), tree AS (SELECT row_number() OVER () AS row, *, substr(sha256(coalesce(array_to_string(list_transform(s, lambda x: substr(sha256(x), 1, 32)), ','), '')), 1, 32) AS root, h[1] AS first FROM secs),
-base AS (
-  SELECT first, arg_min(doc_id, {'z': doc_id IS NULL, 'd': doc_id, 'r': root}) AS base_id, arg_min(root, {'z': doc_id IS NULL, 'd': doc_id, 'r': root}) AS base_root
-  FROM tree WHERE first IS NOT NULL GROUP BY first HAVING count(*) > 1
-), pair AS (
-  SELECT t.*, CASE WHEN b.first IS NULL THEN t.doc_id ELSE b.base_id END AS base_id, coalesce(b.base_root, t.root) AS base_root
-  FROM tree t LEFT JOIN base b ON b.first = t.first
-), one AS (SELECT root, any_value(s) AS bs, any_value(h) AS bh FROM tree GROUP BY root),
-twin AS (SELECT p.*, o.bs, o.bh, least(len(p.s), len(o.bs)) AS m FROM pair p JOIN one o ON o.root = p.base_root),
-s1 AS (SELECT *, coalesce((SELECT min(i) - 1 FROM range(1, m + 1) t(i) WHERE s[i] <> bs[i]), m) AS sp FROM twin),
-s2 AS (SELECT *, least(coalesce((SELECT min(i) FROM range(0, m) t(i) WHERE s[len(s) - i] <> bs[len(bs) - i]), m), m - sp) AS ss FROM s1),
-s3 AS (
-  SELECT *, len(s) - sp - ss AS sections_changed,
-    coalesce((SELECT sum(len(string_split(s[i], ','))) FROM range(1, sp + 1) t(i)), 0)::BIGINT AS skipped,
-    coalesce((SELECT sum(len(string_split(s[len(s) - i], ','))) FROM range(0, ss) t(i)), 0)::BIGINT AS after
-  FROM s2
-), l0 AS (SELECT *, h[skipped + 1 : len(h) - after] AS a, bh[skipped + 1 : len(bh) - after] AS b FROM s3),
-l1 AS (SELECT *, coalesce((SELECT min(i) - 1 FROM range(1, least(len(a), len(b)) + 1) t(i) WHERE a[i] <> b[i]), least(len(a), len(b))) AS lp FROM l0),
-l2 AS (SELECT *, least(coalesce((SELECT min(i) FROM range(0, least(len(a), len(b))) t(i) WHERE a[len(a) - i] <> b[len(b) - i]), least(len(a), len(b))), least(len(a), len(b)) - lp) AS ls FROM l1)
-SELECT doc_id, root, len(s)::INT AS n_sections, n_paragraphs::INT AS n_paragraphs, base_id, root = base_root AS equal, sections_changed::INT AS sections_changed,
-  (len(b) - lp - ls)::INT AS removed, (len(a) - lp - ls)::INT AS added,
-  CASE WHEN root <> base_root THEN skipped + lp + 1 END::INT AS first_changed
-FROM l2
+), tree AS (
+  SELECT *, first_value(doc_id) OVER w AS o_id, first_value(k) OVER w AS o FROM (
+    SELECT *, row_number() OVER (ORDER BY doc_id NULLS LAST, root) AS k FROM (SELECT *, substr(sha256(coalesce(array_to_string(list_transform(s, lambda x: substr(sha256(x), 1, 32)), ','), '')), 1, 32) AS root FROM secs)
+  ) WINDOW w AS (PARTITION BY root ORDER BY k)
+), leaf AS (SELECT k, unnest(h) AS x FROM tree WHERE k = o), owner AS (SELECT x, min(k) AS b FROM leaf GROUP BY x),
+best AS (SELECT k, b, n FROM (SELECT leaf.k, b, count(*) AS n FROM leaf JOIN owner USING (x) WHERE b < leaf.k GROUP BY leaf.k, b) QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC, b) = 1),
+pair AS (SELECT best.k, c.s AS s, b.s AS bs FROM best JOIN tree c ON c.k = best.k JOIN tree b ON b.k = best.b),
+sec AS (
+  SELECT k, own, i, x, row_number() OVER (PARTITION BY k, own, x ORDER BY i) AS nth, count(*) OVER (PARTITION BY k, own, x) AS n, len(string_split(x, ',')) AS size
+  FROM (SELECT k, true AS own, unnest(s) AS x, unnest(range(1, len(s) + 1)) AS i FROM pair UNION ALL SELECT k, false, unnest(bs), unnest(range(1, len(bs) + 1)) FROM pair)
+), placed AS (SELECT *, sum(size) OVER (PARTITION BY k, own ORDER BY i) - size AS skipped FROM sec),
+many AS (SELECT DISTINCT k, own, x, n FROM sec),
+unmet AS (SELECT a.* FROM placed a LEFT JOIN many m ON m.k = a.k AND m.own <> a.own AND m.x = a.x WHERE a.nth > coalesce(m.n, 0)),
+par AS (
+  SELECT *, row_number() OVER (PARTITION BY k, own, h ORDER BY p) AS nth, count(*) OVER (PARTITION BY k, own, h) AS n
+  FROM (SELECT k, own, skipped + unnest(range(1, size + 1)) AS p, unnest(string_split(x, ',')) AS h FROM unmet)
+), seen AS (SELECT DISTINCT k, own, h, n FROM par),
+rest AS (SELECT a.k, a.own, a.p FROM par a LEFT JOIN seen m ON m.k = a.k AND m.own <> a.own AND m.h = a.h WHERE a.nth > coalesce(m.n, 0)),
+run AS (SELECT k, own, min(p)::BIGINT AS lo, max(p)::BIGINT AS hi, count(*) AS n FROM (SELECT *, p - row_number() OVER (PARTITION BY k, own ORDER BY p) AS g FROM rest) GROUP BY k, own, g),
+edit AS (
+  SELECT k, sum(n) FILTER (NOT own) AS removed, sum(n) FILTER (own) AS added,
+    string_agg(CASE WHEN lo = hi THEN lo::VARCHAR ELSE lo || '-' || hi END, ',' ORDER BY lo) FILTER (NOT own) AS removed_at,
+    string_agg(CASE WHEN lo = hi THEN lo::VARCHAR ELSE lo || '-' || hi END, ',' ORDER BY lo) FILTER (own) AS added_at
+  FROM run GROUP BY k
+), gone AS (SELECT k, count(*) AS n FROM unmet WHERE own GROUP BY k),
+a AS (
+  SELECT t.*, t.o_id IS DISTINCT FROM t.doc_id AS twin, best.n AS shared, b.doc_id AS b_id, best.k IS NOT NULL AS based, edit.*, gone.n AS sections_gone
+  FROM tree t LEFT JOIN best ON best.k = t.o LEFT JOIN tree b ON b.k = best.b LEFT JOIN edit ON edit.k = t.o LEFT JOIN gone ON gone.k = t.o
+)
+SELECT doc_id, root, len(s)::INT AS n_sections, n_paragraphs::INT AS n_paragraphs, CASE WHEN twin THEN o_id ELSE b_id END AS base_id,
+  CASE WHEN twin THEN n_paragraphs ELSE shared END::BIGINT AS shared, CASE WHEN twin THEN true WHEN based THEN false END AS equal,
+  CASE WHEN twin THEN 0 WHEN based THEN coalesce(sections_gone, 0) END::INT AS sections_changed, CASE WHEN twin THEN 0 WHEN based THEN coalesce(removed, 0) END::INT AS removed,
+  CASE WHEN twin THEN 0 WHEN based THEN coalesce(added, 0) END::INT AS added, CASE WHEN twin THEN '' WHEN based THEN coalesce(removed_at, '') END AS removed_at,
+  CASE WHEN twin THEN '' WHEN based THEN coalesce(added_at, '') END AS added_at
+FROM a
 """

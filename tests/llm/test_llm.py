@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -161,23 +162,41 @@ def test_anisotropic_codes_lower_parallel_error():
 # --- 3 Merkle trees ----------------------------------------------------------
 
 
-def test_merkle_locates_an_edit(spark):
-    base = [f"paragraph number {i} of the text" for i in range(80)]
-    edited = [*base[:40], "a new one", *base[41:]]
+def test_merkle_locates_edits(spark):
+    base = [f"paragraph number {i} of the text" for i in range(100)]
+    edited = [*base[:3], "a new one", *base[4:96], "another", *base[97:]]
     longer = [*base[:10], "put in", "and this", *base[10:]]
-    rows = [(10, "\n".join(base)), (11, "\n\n".join(base)), (12, "\n".join(edited)), (13, "\n".join(longer)), (14, "alone"), *ODD]
+    moved = [*base[50:], *base[:50]]
+    rows = [(10, "\n".join(base)), (11, "\n\n".join(base)), (12, "\n".join(edited)), (13, "\n".join(longer)), (14, "alone"), (15, "\n".join(["first", *base])), (16, "\n".join(moved)), (17, "\n".join([*base, base[0], base[0]])), *ODD]
     got = {}
     for r in merkle.compare(docs(spark, rows)).collect():
         got.setdefault(r.doc_id, r)
-    assert got[11].equal and got[11].root == got[10].root and got[11].base_id == 10
-    assert (got[12].equal, got[12].first_changed, got[12].removed, got[12].added) == (False, 41, 1, 1) and got[12].sections_changed < got[12].n_sections
-    assert (got[13].first_changed, got[13].removed, got[13].added) == (11, 0, 2)
-    assert got[14].base_id == 14 and got[14].equal
-    assert got[1].root == got[2].root == got[3].root and got[1].n_paragraphs == 0 and got[1].base_id == 1
-    assert got[5].base_id == 4 and got[5].equal
+    said = lambda i: tuple(got[i][x] for x in ("base_id", "equal", "removed", "added", "removed_at", "added_at"))
+    assert said(11) == (10, True, 0, 0, "", "") and got[11].root == got[10].root and got[11].sections_changed == 0
+    assert said(12) == (10, False, 2, 2, "4,97", "4,97") and 0 < got[12].sections_changed <= 3 < got[12].n_sections
+    assert said(13) == (10, False, 0, 2, "", "11-12") and said(15) == (10, False, 0, 1, "", "1") and said(16)[:4] == (10, False, 0, 0)
+    assert said(17) == (10, False, 0, 2, "", "101-102")
+    assert said(10) == said(14) == (None,) * 6 and got[14].sections_changed is None
+    assert got[1].root == got[2].root == got[3].root and got[1].n_paragraphs == 0 and said(2)[:2] == said(3)[:2] == (1, True) and said(1) == (None,) * 6
+    assert said(5)[:2] == (4, True) and said(4) == (None,) * 6
     assert merkle.compare(docs(spark, rows)).count() == len(rows) and merkle.compare(docs(spark, []).limit(0)).isEmpty()
 
 
+def test_merkle_sql_on_odd_rows(spark):
+    base = [f"paragraph {i}" for i in range(60)]
+    rng, rows = random.Random(4), [*ODD, (None, "\n".join(base)), (20, "\n".join(base)), (20, "\n".join(base[:30]))]
+    for i in range(40):
+        own = [rng.choice(base) if rng.random() < 0.1 else x for x in base if rng.random() > 0.05]
+        rows.append((21 + i % 25, "\n".join(own)))
+    table = docs(spark, rows)
+    con = duckdb.connect()
+    con.register("documents", pa.Table.from_pylist([{"doc_id": i, "text": t} for i, t in rows], pa.schema([("doc_id", pa.int64()), ("text", pa.string())])))
+    found = con.execute(merkle.COMPARE_SQL)
+    names = [x[0] for x in found.description]
+    got = merkle.compare(table).select(*names).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, found.fetchall()))
+
+
 def test_merkle_nearest_does_not_need_the_first_paragraph(spark):
     base = [f"paragraph number {i} of the text" for i in range(40)]
     rows = [
@@ -187,11 +206,11 @@ def test_merkle_nearest_does_not_need_the_first_paragraph(spark):
     got = {(r.doc_id, r.n_paragraphs): (r.base_id, r.shared, r.equal) for r in merkle.nearest(docs(spark, rows)).collect()}
     assert got[11, 40] == (10, 39, False) and got[12, 41] == (10, 40, False) and got[13, 39] == (10, 39, False)
     assert got[10, 40] == (None, None, None) and got[14, 1] == (None, None, None) and got[15, 3] == (10, 1, False)
-    assert got[16, 40] == (10, 40, True) and got[17, 41] == (11, 40, False)
+    assert got[16, 40] == (10, 40, True) and got[17, 41] == (10, 39, False)  # most of its paragraphs are first in 10
     assert got[2, 0] == got[3, 0] == (1, 0, True) and got[1, 0] == got[4, 1] == (None, None, None) and got[5, 1] == (4, 1, True)
     found = merkle.nearest(docs(spark, rows))
     assert found.count() == len(rows) and merkle.nearest(docs(spark, []).limit(0)).isEmpty()
-    assert {r.base_id for r in found.where("doc_id is null and base_root is not null").collect()} == {14}
+    assert {r.base_id for r in found.where("doc_id is null and base is not null").collect()} == {14}
 
 
 def test_merkle_lists_every_edit(spark):
