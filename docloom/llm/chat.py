@@ -1,10 +1,12 @@
 """Chat formatting of reply trees.
 
-Iterative self-joins enumerate the root-to-leaf paths: with the 2^k-th
-ancestors of all nodes, every path known so far grows to twice its length, so
-a tree of depth d takes log2(d) joins, over identifiers only.  The branches of
-a tree are ranked by the mean score of their messages, and each chosen branch
-is formatted as one conversation.
+Iterative self-joins over identifiers only: with its 2^k-th ancestor a node
+knows the sum of scores and the number of messages up to there, so a tree of
+depth d takes log2(d) joins until every leaf knows its whole branch.  The
+branches of a tree are ranked by the mean score of their messages.  The paths
+of the chosen ones alone are then enumerated, again doubling with each join,
+and each is formatted as one conversation.  A row a node moves in each step,
+whatever the number and length of branches, and nothing is grouped by tree.
 
 Defined results: of repeated (tree, node) rows the one of highest score, then
 of lowest role and text, counts (nulls last).  A null parent, and one that the tree doesn't
@@ -19,29 +21,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from docloom.llm.common import materialize
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """(tree, leaf, node, dist) for ``nodes`` (tree, node, parent): every ancestor of every leaf, itself at 0."""
-    own = nodes.select("tree", "node", "parent")
-    known = own.select("tree", F.col("node").alias("parent"), F.lit(1).alias("known"))
-    linked = materialize(own.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known") == 1, F.col("parent")).alias("up")), "chat-nodes")
-    parents = linked.where("up is not null").select("tree", F.col("up").alias("node")).distinct()
-    found = linked.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("dist"))
-    largest = linked.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    jump, step = linked.where("up is not null"), 1
-    while step <= largest and not jump.isEmpty():
-        far = found.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("dist") + step).alias("dist"))
-        found = materialize(found.unionByName(far), "chat-paths")
-        over = jump.select("tree", F.col("node").alias("up"), F.col("up").alias("top"))
-        jump = materialize(jump.join(over, ["tree", "up"]).select("tree", "node", F.col("top").alias("up")), "chat-jumps")
+def _doubled(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(tree, node, total, n) of every node below a root, over its whole branch, and the jumps (tree, node, up) of 1, 2, 4 … steps.
+
+    ``rows`` holds tree, node, parent, score.
+    """
+    known = rows.select("tree", F.col("node").alias("parent"), F.lit(1).alias("known"))
+    state = rows.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known") == 1, F.col("parent")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("bigint").alias("n"))
+    state, jumps, step = materialize(state, "chat-nodes"), [], 1
+    largest = state.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    while step <= largest and not state.where("up is not null").isEmpty():
+        live = state.where("up is not null")
+        jumps.append(live.select("tree", "node", "up"))
+        over = state.select("tree", F.col("node").alias("up"), F.col("up").alias("top"), F.col("total").alias("more"), F.col("n").alias("steps"))
+        far = live.join(over, ["tree", "up"]).select("tree", "node", F.col("top").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("n") + F.col("steps")).alias("n"))
+        state = materialize(state.where("up is null").unionByName(far), "chat-nodes")
         step *= 2
-    roots = linked.where("up is null").select("tree", "node")
-    rooted = found.join(roots, ["tree", "node"], "left_semi").select("tree", "leaf")
-    return found.join(rooted, ["tree", "leaf"], "left_semi")
+    # what still has an ancestor is on a cycle or below one
+    return state.where("up is null").drop("up"), jumps
 
 
 def turn(role: Column, text: Column) -> Column:
@@ -58,11 +61,19 @@ def conversations(messages: DataFrame, best: int = 3) -> DataFrame:
     once = Window.partitionBy("tree", "node").orderBy(*order)
     rows = messages.select("tree", "node", "parent", "role", "text", "score").where("tree is not null and node is not null")
     rows = materialize(rows.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n"), "chat-messages")
-    scored = paths(rows).join(rows.select("tree", "node", F.coalesce("score", F.lit(0)).alias("score")), ["tree", "node"])
-    branch = scored.groupBy("tree", "leaf").agg((F.sum("score") / F.count("*")).alias("score"), F.count("*").alias("n_messages"), F.collect_list(F.struct((-F.col("dist")).alias("d"), "node")).alias("way"))
+    number = "bigint" if isinstance(rows.schema["score"].dataType, T.IntegralType) else "double"
+    rooted, jumps = _doubled(rows.select("tree", "node", "parent", F.coalesce("score", F.lit(0)).cast(number).alias("score")))
+    parents = jumps[0].select("tree", F.col("up").alias("node")).distinct() if jumps else None
+    leaves = rooted.join(parents, ["tree", "node"], "left_anti") if jumps else rooted
+    branch = leaves.select("tree", F.col("node").alias("leaf"), (F.col("total") / F.col("n")).alias("score"), F.col("n").alias("n_messages"))
     rank = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
-    chosen = branch.withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= best)
-    steps = chosen.select("tree", "branch", "leaf", "n_messages", "score", F.explode("way").alias("w")).select("tree", "branch", "leaf", "n_messages", "score", "w.d", "w.node")
+    # the limit is taken before the shuffle as well, so a tree of very many leaves doesn't meet in one task
+    chosen = materialize(branch.withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= best), "chat-chosen")
+    way = chosen.select("tree", "branch", F.col("leaf").alias("node"), F.lit(0).alias("d"))
+    for k, jump in enumerate(jumps):
+        far = way.join(jump, ["tree", "node"]).select("tree", "branch", F.col("up").alias("node"), (F.col("d") - (1 << k)).alias("d"))
+        way = materialize(way.unionByName(far), "chat-paths")
+    steps = way.join(chosen, ["tree", "branch"])
     said = steps.join(rows.select("tree", "node", turn(F.col("role"), F.col("text")).alias("said")), ["tree", "node"])
     whole = said.groupBy("tree", "branch", "leaf", "n_messages", "score").agg(F.array_sort(F.collect_list(F.struct("d", "said"))).alias("x"))
     return whole.select("tree", "branch", "leaf", "n_messages", "score", F.array_join(F.transform("x", lambda s: s["said"]), "").alias("text"))
@@ -73,22 +84,38 @@ def reply_trees(table: DataFrame) -> DataFrame:
 
     In the order of turn, role and text, a run of messages by one role holds
     alternatives, which all reply to the message before the run.  A message
-    scores its length, 1000 characters at most.  Rows with a null conv_id or
-    turn are left out; repeated rows are alternatives like any others.
+    scores its length.  Rows with a null conv_id or turn are left out; repeated
+    rows are alternatives like any others.
+
+    The table is sorted by ranges, so that a conversation may fill many
+    partitions: the numbers of nodes ascend in this order, parents are found
+    within a partition, and those of runs that begin a partition from one row of
+    each partition before.
     """
+    order = ["conv_id", "turn", "role", "text"]
     rows = table.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = rows.withColumn("node", F.row_number().over(order)).withColumn("before", F.lag("role").over(order))
-    cut = F.when(F.col("before") != F.col("role"), F.col("node") - 1)
-    parent = F.last(cut, True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select(F.col("conv_id").alias("tree"), "node", parent.alias("parent"), "role", "text", F.least(F.length("text"), F.lit(1000)).alias("score"))
+    ranged = rows.repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, 32)).sortWithinPartitions(*order)
+    placed = materialize(ranged.withColumn("node", F.monotonically_increasing_id()), "chat-order").withColumn("part", F.shiftright("node", 33))
+    inside = Window.partitionBy("part", "conv_id").orderBy("node")
+    cut = F.when(F.lag("role").over(inside) != F.col("role"), F.lag("node").over(inside))
+    # the latest message of the partition by another role
+    placed = placed.withColumn("cut", cut).withColumn("inner", F.last("cut", True).over(inside.rowsBetween(Window.unboundedPreceding, 0))).drop("cut")
+    chunk = placed.groupBy("conv_id", "part").agg(F.min_by("role", "node").alias("begins"), F.max_by(F.struct("node", "role", "inner"), "node").alias("end"))
+    # a row a partition: a conversation has at most as many of these as there are partitions
+    along = Window.partitionBy("conv_id").orderBy("part")
+    last = F.lag("end").over(along)
+    direct = F.when(last["role"] != F.col("begins"), last["node"]).otherwise(last["inner"])
+    carried = chunk.withColumn("direct", direct).withColumn("before", F.last("direct", True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    carried = carried.where("before is not null").select("conv_id", "part", "before")
+    found = placed.join(carried, ["conv_id", "part"], "left")
+    return found.select(F.col("conv_id").alias("tree"), "node", F.coalesce("inner", "before").alias("parent"), "role", "text", F.length("text").alias("score"))
 
 
 #: Three branches of each tree of ``conversations``, in DuckDB's SQL.
 CHAT_SQL = r"""
 WITH RECURSIVE m AS (
   SELECT conv_id AS tree, coalesce(role, 'user') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL
-), n AS (SELECT *, row_number() OVER w AS node, lag(role) OVER w AS before, least(length(text), 1000) AS score FROM m WINDOW w AS (PARTITION BY tree ORDER BY turn, role, text)),
+), n AS (SELECT *, row_number() OVER w AS node, lag(role) OVER w AS before, length(text) AS score FROM m WINDOW w AS (PARTITION BY tree ORDER BY turn, role, text)),
 c AS (SELECT *, CASE WHEN before <> role THEN node - 1 END AS cut FROM n),
 t AS (SELECT tree, node, role, text, score, max(cut) OVER (PARTITION BY tree ORDER BY node ROWS UNBOUNDED PRECEDING) AS parent FROM c),
 leaf AS (SELECT a.tree, a.node FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.tree = a.tree AND b.parent = a.node)),

@@ -316,7 +316,40 @@ def test_chat_odd_messages(spark):
     assert got[1, 3].count("<|im_end|>") == 1 and LONG in got[4, 1]
     assert chat.conversations(table.limit(0)).isEmpty()
     turns = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 1, "assistant", "b" * 9), (1, 2, "user", "c"), (None, 1, "user", "x")], "conv_id bigint, turn bigint, role string, text string")
-    assert {(r.node, r.parent) for r in chat.reply_trees(turns).collect()} == {(1, None), (2, 1), (3, 1), (4, 3)}
+    assert _numbered(chat.reply_trees(turns).collect()) == {(1, None), (2, 1), (3, 1), (4, 3)}
+
+
+def _numbered(rows):
+    """(node, parent), nodes numbered from 1 in their order."""
+    number = {n: i for i, n in enumerate(sorted(r.node for r in rows), 1)} | {None: None}
+    return {(number[r.node], number[r.parent]) for r in rows}
+
+
+@pytest.mark.parametrize("parts", [1, 7, 60])
+def test_chat_trees_do_not_depend_on_partitions(spark, parts):
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 1, 1, 2, 3]), rng.randrange(12), rng.choice(["user", "user", "assistant", "tool"]), rng.choice("abcd") * rng.randrange(1, 40)) for _ in range(120)]
+    want = {}
+    for conv in (1, 2, 3):
+        parent, start = {}, None
+        own = sorted((t, r, x) for c, t, r, x in rows if c == conv)
+        for i, m in enumerate(own):
+            start = i - 1 if i and own[i - 1][1] != m[1] else start
+            parent[i + 1] = None if start is None else start + 1
+        want[conv] = set(parent.items())
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+        found = chat.reply_trees(table).collect()
+        assert parts < 8 or len({r.node >> 33 for r in found}) > 5
+        for conv in want:
+            assert _numbered([r for r in found if r.tree == conv]) == want[conv]
+            assert [r.score for r in sorted(found, key=lambda r: r.node) if r.tree == conv] == [len(x) for c, _, _, x in sorted(rows) if c == conv]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_chat_deep_chain(spark):
