@@ -36,6 +36,8 @@ from docloom.llm.common import materialize
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT, CHUNK, RUN, TOGETHER = 1 << 16, 1 << 12, 480, 32
+#: Most tasks that the chunks of all giants are dealt to.
+MOST_TASKS = 16384
 SPACE = "▁"
 _NONE = -np.inf
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -57,6 +59,9 @@ class Model:
         for p in normal:
             p.score = max(p.score, low - 1)
         self.unknown = min(p.score for p in normal) - 10.0
+        rules = proto.normalizer_spec
+        if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.escape_whitespaces or not rules.add_dummy_prefix:
+            raise ValueError("models that normalise texts aren't supported")
         proto.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
         self.library = sentencepiece.SentencePieceProcessor()
         self.library.LoadFromSerializedProto(proto.SerializeToString())
@@ -290,12 +295,16 @@ def encode(docs: DataFrame, path: str = MODEL, giant: int = GIANT, chunk: int =
 
 def _encode_giants(rows: DataFrame, path: str, chunk: int) -> DataFrame:
     n = model(path).longest
-    text: Column = F.concat(F.lit(SPACE), F.replace("text", F.lit(" "), F.lit(SPACE)))
-    cut = rows.select("doc_id", "text_hash", F.monotonically_increasing_id().alias("row"), text.alias("t")).withColumn("size", F.length("t"))
-    cut = cut.withColumn("k", F.explode(F.sequence(F.lit(0), ((F.col("size") - 1) / chunk).cast("int"))))
-    body = F.least(F.col("size") - F.col("k") * chunk, F.lit(chunk)).cast("int")
+    if chunk < n:
+        raise ValueError(f"a chunk must hold the longest piece, of {n} characters")
+    # cut in one pass: a substring from a late start would read the text from its beginning for each chunk
+    parts: Column = F.regexp_extract_all(F.concat(F.lit(SPACE), F.replace("text", F.lit(" "), F.lit(SPACE))), F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))
+    cut = rows.select("doc_id", "text_hash", F.monotonically_increasing_id().alias("row"), parts.alias("t"))
+    # a chunk and what pieces may reach beyond it
+    beyond = lambda x, i: F.struct(F.length(x).alias("size"), F.concat(x, F.coalesce(F.substring(F.get("t", i + 1), 1, n - 1), F.lit(""))).alias("part"))
+    cut = cut.select("doc_id", "text_hash", "row", F.posexplode(F.transform("t", beyond)).alias("k", "c"))
     # written once: the row numbers stay, and chunks are spread by their size alone
-    chunks = materialize(cut.select("doc_id", "text_hash", "row", "k", body.alias("size"), F.substring("t", F.col("k") * chunk + 1, F.lit(chunk + n - 1)).alias("part")), "pieces-chunks")
+    chunks = materialize(cut.select("doc_id", "text_hash", "row", "k", "c.size", "c.part"), "pieces-chunks")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
@@ -321,10 +330,12 @@ def _encode_giants(rows: DataFrame, path: str, chunk: int) -> DataFrame:
                 lists = pa.array(ids, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([own["doc_id"], own["text_hash"], own["row"], own["k"], lists], ["doc_id", "text_hash", "row", "k", "ids"])
 
-    spread = chunks.select("row", "k", "size", "part").repartition("row", "k")
+    # by work, not by bytes: a chunk costs far more time than its size suggests
+    tasks = max(1, min(-(-chunks.count() // (4 * TOGETHER)), MOST_TASKS))
+    spread = chunks.select("row", "k", "size", "part").repartition(tasks, "row", "k")
     moved = spread.mapInArrow(matrices, "row bigint, k int, m array<double>")
     at = moved.groupBy("row").applyInArrow(states, "row bigint, k int, enter int, leave int")
-    found = chunks.join(at, ["row", "k"]).mapInArrow(traced, "doc_id bigint, text_hash bigint, row bigint, k int, ids array<int>")
+    found = chunks.join(at, ["row", "k"]).repartition(tasks, "row", "k").mapInArrow(traced, "doc_id bigint, text_hash bigint, row bigint, k int, ids array<int>")
     whole = found.groupBy("row", "doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("x"))
     return whole.select("doc_id", "text_hash", F.flatten(F.transform("x", lambda s: s["ids"])).alias("ids"))
 

@@ -376,6 +376,38 @@ def test_scan_equals_the_library_and_round_trips():
         assert _score(m, a) == pytest.approx(_score(m, b)) or len(text) > pieces.RUN
 
 
+def test_scan_gives_the_ids_of_the_library(spark):
+    m = pieces.model(pieces.MODEL)
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    assert len(texts) == 200
+    for text in texts:
+        ids = pieces.encode_batch(m, [text])[0].tolist()
+        assert pieces.scan(m, text) == ids
+        # chunks may end inside of equal segmentations, and choose another of these
+        assert _score(m, pieces.scan(m, text, 509)) == pytest.approx(_score(m, ids))
+
+
+def test_giants_give_the_ids_of_small_texts(spark):
+    rows = [(i, t) for i, t in enumerate(["ab\u2581c d " * 90, "\U0001f600é x\n" * 300, LONG[:9000], "y" * 4096, "the " * 1024])]
+    small, giant = ({r.doc_id: r.ids for r in pieces.encode(docs(spark, rows), giant=g, chunk=64).collect()} for g in (1 << 20, 1))
+    m = pieces.model(pieces.MODEL)
+    assert all(_score(m, small[i]) == pytest.approx(_score(m, giant[i])) and m.library.decode(giant[i]) == m.library.decode(small[i]) for i, _ in rows)
+    with pytest.raises(ValueError, match="longest piece"):
+        pieces.encode(docs(spark, rows), chunk=4)
+
+
+def test_models_that_normalise_are_refused(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    with open(pieces.MODEL, "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.normalizer_spec.remove_extra_whitespaces = True
+    (tmp_path / "m.model").write_bytes(proto.SerializeToString())
+    with pytest.raises(ValueError, match="normalise"):
+        pieces.Model(str(tmp_path / "m.model"))
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.text(alphabet="thean dog東\n ☃", max_size=120), st.sampled_from([17, 40, 1000]))
 def test_chunks_do_not_change_the_best_score(text, chunk):
