@@ -3,17 +3,22 @@
 Vectors are partitioned by k-means and their residuals quantised in subspaces
 of two dimensions to four bits.  Codes and codebooks minimise the anisotropic
 loss: error parallel to a vector, which changes its large inner products, costs
-``eta`` times as much as error across it.  Every row is a query.  It visits the
-partitions that are expected to hold its neighbours: with the number, centroid
+``eta`` times as much as error across it.  A query visits the partitions that
+are expected to hold its neighbours: with the number, centroid
 and spread of each partition a normal model gives the score that ``k`` rows
 exceed, and the partitions with the most such rows are taken until the others
 would hold a share of ``miss`` together.  In a visited partition the four-bit
 codes are scanned with tables, two codes a lookup, and the best ``shortlist``
-candidates (with all ties) are ranked by their exact scores.
+candidates of a block are ranked by their exact scores.
 
-Training passes and the statistics read all rows.  Partitions are gathered in
-blocks; a query block meets only the vector blocks that its queries visit, so
-that clustered data takes far fewer than all pairs of blocks.
+Equal vectors are one entry of the index, with the lowest ``k + 1`` of their
+rows, so a group of copies costs what one row does, however large it is, and no
+answer is lost: of more copies than that none can be among the ``k`` nearest.
+
+Training passes and the statistics read all vectors.  Partitions are gathered in
+blocks, and a partition larger than a block is spread over several; a group of
+queries meets only the blocks that its queries visit, so that clustered data
+takes far fewer than all pairs.
 
 Defined results: a row with a null vector, a null, infinite or missing
 component, or another length than most rows (the longer of two equally
@@ -29,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -50,7 +55,13 @@ class Coarse:
     centroid: np.ndarray  # partitions x dims
     count: np.ndarray
     spread: np.ndarray  # root mean square of a residual's component
-    block: np.ndarray  # of each partition
+    block: np.ndarray  # first one of each partition
+    blocks: np.ndarray  # their number
+
+    def place(self, part: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Blocks of rows in these partitions."""
+        h = row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return self.block[part] + ((h >> np.uint64(32)) % self.blocks[part].astype(np.uint64)).astype(np.int64)
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         half = (self.centroid**2).sum(1) / 2
@@ -68,7 +79,8 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
 
 def _vectors(table: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
     """(row, id, v) of the usable rows, written once so that row numbers stay; v is padded to a multiple of four."""
-    v = F.col(vec_col).cast("array<float>")
+    # a zero has no sign here, so that equal vectors are equal
+    v = F.transform(F.col(vec_col).cast("array<float>"), lambda x: x + F.lit(0.0).cast("float"))
     rows = table.select(F.col(id_col).cast("bigint").alias("id"), v.alias("v"))
     good = rows.where(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))).where(F.size("v") > 0)
     usual = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
@@ -80,8 +92,20 @@ def _vectors(table: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, in
     return materialize(kept, "ann-vectors"), dims
 
 
+def _entries(rows: DataFrame, k: int) -> DataFrame:
+    """(u, v, members): each vector once, with the lowest k + 1 (id, row) of its rows; u is the row of the first."""
+    order = Window.partitionBy("v").orderBy(F.asc_nulls_last("id"), "row")
+    # the limit is taken before the shuffle as well, so copies don't meet in one task
+    low = rows.select("row", "id", "v").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+    found = low.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("n", "id", "row"))).alias("m"))
+    return found.select(F.col("m")[0]["row"].alias("u"), "v", F.transform("m", lambda x: F.struct(x["id"].alias("id"), x["row"].alias("row"))).alias("members"))
+
+
 # --- training ----------------------------------------------------------------
 
+#: Widest sums that are added up as arrays; wider ones take a row a number.
+WIDE = 256
+
 
 def _sums(rows: DataFrame, kernel: Callable[[pa.RecordBatch], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
     """Sum over all rows of what ``kernel`` gives for a batch; partial sums are merged by their first axis."""
@@ -100,25 +124,23 @@ def _sums(rows: DataFrame, kernel: Callable[[pa.RecordBatch], np.ndarray], shape
 
     parts = rows.mapInArrow(run, "i bigint, s array<double>")
     width = int(np.prod(shape[1:]))
-    merged = parts.groupBy("i").agg(F.array(*[F.sum(F.get("s", F.lit(j))) for j in range(width)]).alias("s")) if width <= 8 else None
     out = np.zeros((shape[0], width))
-    if merged is None:
-        # wide sums: explode would make a row a number, so whole lists are added up by index
-        exploded = parts.select("i", F.posexplode("s").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
-        out[exploded["i"].to_numpy(), exploded["j"].to_numpy()] = exploded["x"]
-    else:
-        for r in merged.collect():
+    if width <= WIDE:
+        for r in parts.groupBy("i").agg(F.array(*[F.sum(F.get("s", F.lit(j))) for j in range(width)]).alias("s")).collect():
             out[r.i] = r.s
+    else:
+        found = parts.select("i", F.posexplode("s").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()
+        out[found["i"].to_numpy(), found["j"].to_numpy()] = found["x"]
     return out.reshape(shape)
 
 
 def _coarse(rows: DataFrame, dims: int, passes: int = 6) -> Coarse:
     n = rows.count()
     wanted = int(min(max(1, round(np.sqrt(n) / 4)), MOST_CENTROID_BYTES // (4 * dims)))
-    start = rows.select("row", "v").distinct().orderBy(F.xxhash64("row"), "row").limit(wanted).toPandas()["v"]
+    start = rows.select("u", "v").orderBy(F.xxhash64("u"), "u").limit(wanted).toPandas()["v"]
     centroid = np.unique(np.stack(start.to_numpy()).astype(np.float32), axis=0)
     for last in [False] * passes + [True]:
-        now = Coarse(centroid, np.ones(len(centroid)), np.ones(len(centroid)), np.zeros(len(centroid), int))
+        now = Coarse(centroid, np.ones(len(centroid)), np.ones(len(centroid)), np.zeros(len(centroid), int), np.ones(len(centroid), int))
 
         def kernel(batch: pa.RecordBatch, now: Coarse = now) -> np.ndarray:
             x = _matrix(batch["v"], dims)
@@ -141,9 +163,17 @@ def _coarse(rows: DataFrame, dims: int, passes: int = 6) -> Coarse:
     mean = np.average(centroid, axis=0, weights=np.maximum(s[:, dims], 1e-9))
     axis = np.linalg.svd(centroid - mean, full_matrices=False)[2][0]
     order = np.lexsort([np.arange(len(centroid)), centroid @ axis])
-    block = np.empty(len(centroid), np.int64)
-    block[order] = (np.cumsum(s[order, dims]) - s[order, dims]) // BLOCK
-    return Coarse(centroid, s[:, dims], spread, block)
+    count = s[:, dims]
+    block, blocks = np.empty(len(centroid), np.int64), np.maximum(1, -(-count // BLOCK)).astype(np.int64)
+    at, held = 0, 0.0
+    for p in order:
+        if held and held + count[p] > BLOCK:
+            at, held = at + 1, 0.0
+        block[p] = at
+        held += count[p]
+        if blocks[p] > 1:
+            at, held = at + int(blocks[p]), 0.0
+    return Coarse(centroid, count, spread, block, blocks)
 
 
 def encode(u: np.ndarray, unit: np.ndarray, books: np.ndarray, eta: float, rounds: int = 2) -> tuple[np.ndarray, np.ndarray]:
@@ -245,18 +275,25 @@ def tables(q: np.ndarray, books: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray((one[0::2, :, :, None] + one[1::2, :, None, :]).reshape(len(books) // 2, len(q), CENTRES**2))
 
 
+_MEMBERS = "array<struct<id:bigint,row:bigint>>"
+_FOUND = f"q bigint, n_id bigint, n_row bigint, score float, members {_MEMBERS}"
+
+
 def _search(coarse: Coarse, books: np.ndarray, dims: int, k: int, shortlist: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    empty = pa.schema([("row", pa.int64()), ("id", pa.int64()), ("n_row", pa.int64()), ("n_id", pa.int64()), ("score", pa.float32())]).empty_table()
+    """For each query the best k + 1 entries of one block, itself among them."""
+    pair = pa.struct([("id", pa.int64()), ("row", pa.int64())])
+    empty = pa.schema([("q", pa.int64()), ("n_id", pa.int64()), ("n_row", pa.int64()), ("score", pa.float32()), ("members", pa.list_(pair))]).empty_table()
 
     def run(asked: pa.Table, held: pa.Table) -> pa.Table:
         if not len(asked) or not len(held):
             return empty
-        held = held.sort_by([("part", "ascending"), ("row", "ascending")]).combine_chunks()
-        asked = asked.sort_by("row").combine_chunks()
+        # columns are tied in the order of id and row; a partition's lie together
+        held = held.sort_by([("id", "ascending"), ("u", "ascending")])
+        tie = np.argsort(held["part"].to_numpy(), kind="stable")
+        held, asked = held.take(pa.array(tie)).combine_chunks(), asked.sort_by("u").combine_chunks()
         col = lambda t, c: t[c].combine_chunks() if isinstance(t[c], pa.ChunkedArray) else t[c]
         x, q = _matrix(col(held, "v"), dims), _matrix(col(asked, "v"), dims)
         code = np.frombuffer(b"".join(held["code"].to_pylist()), np.uint8).reshape(len(x), -1).T.copy()
-        row, qrow = held["row"].to_numpy(), asked["row"].to_numpy()
         part, first = np.unique(held["part"].to_numpy(), return_index=True)
         ends = np.append(first[1:], len(x))
         lists = col(asked, "parts")
@@ -281,67 +318,82 @@ def _search(coarse: Coarse, books: np.ndarray, dims: int, k: int, shortlist: int
                 s *= np.float32(coarse.spread[part[p]])
                 s += near[who, p, None]
                 scores[who, a:b] = s
+            good = scores > -np.inf
             if scores.shape[1] > shortlist:
-                cut = np.partition(scores, scores.shape[1] - shortlist, axis=1)[:, -shortlist]
-                good = (scores >= cut[:, None]) & (scores > -np.inf)
-            else:
-                good = scores > -np.inf
-            good &= row[None] != qrow[i : i + TILE, None]
+                cut = np.partition(scores, scores.shape[1] - shortlist, axis=1)[:, -shortlist, None]
+                good &= scores >= cut
+                for r in np.flatnonzero(good.sum(1) > shortlist):  # of equal estimates the first
+                    even = np.flatnonzero(good[r] & (scores[r] == cut[r]))
+                    good[r, even[shortlist - int(good[r].sum()) + len(even) :]] = False
             r, c = np.nonzero(good)
             exact = np.einsum("ij,ij->i", own[r], x[c])
-            order = np.lexsort([row[c], -exact, r])
+            order = np.lexsort([tie[c], -exact, r])
             r, c, exact = r[order], c[order], exact[order]
-            start = np.searchsorted(r, np.arange(len(own)))
-            top = np.arange(len(r)) - start[r] < k
-            # equal scores at the end are kept for the final order by id
-            last = np.minimum(start + k - 1, np.append(start[1:], len(r)) - 1)
-            top |= (exact == exact[np.maximum(last, 0)][r]) if len(r) else top
+            top = np.arange(len(r)) - np.searchsorted(r, np.arange(len(own)))[r] <= k
             found.append((r[top] + i, c[top], exact[top]))
         r, c, s = (np.concatenate(z) for z in zip(*found))
-        return pa.table({"row": pa.array(qrow[r]), "id": asked["id"].take(pa.array(r)), "n_row": pa.array(row[c]), "n_id": held["id"].take(pa.array(c)), "score": pa.array(s.astype(np.float32))})
+        taken = held.take(pa.array(c))
+        return pa.table({"q": asked["u"].take(pa.array(r)), "n_id": taken["id"], "n_row": taken["u"], "score": pa.array(s.astype(np.float32)), "members": taken["members"]})
 
     return run
 
 
-def neighbours(table: DataFrame, k: int = K, shortlist: int = SHORTLIST, miss: float = MISS, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(id, rank, neighbour, score): the k rows of highest inner product with every row."""
+def neighbours(table: DataFrame, k: int = K, shortlist: int = SHORTLIST, miss: float = MISS, id_col: str = "vec_id", vec_col: str = "embedding", queries: Column | None = None) -> DataFrame:
+    """(id, rank, neighbour, score): the k rows of highest inner product with every row, or with those for which ``queries`` (of ``id``) is true."""
     rows, dims = _vectors(table, id_col, vec_col)
-    out = "row bigint, id bigint, n_row bigint, n_id bigint, score float"
     if not dims:
         return rows.select("id", F.lit(1).alias("rank"), F.col("id").alias("neighbour"), F.lit(0.0).cast("float").alias("score")).where("false")
-    coarse = _coarse(rows, dims)
+    entries = materialize(_entries(rows, k), "ann-entries")
+    wanted = rows.where(queries) if queries is not None else rows
+    asked = materialize(wanted.join(entries.select("v", "u"), "v").select("row", "id", "u"), "ann-asked")
+    units = asked.select("u").distinct()
+    coarse = _coarse(entries.select("u", "v"), dims)
     eta = max(1.0, (dims - 1) * SCORE**2 / (1 - SCORE**2))
-    books = _books(rows, coarse, dims, eta)
+    books = _books(entries.select("v"), coarse, dims, eta)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch["v"], dims)
+            x, u = _matrix(batch["v"], dims), batch["u"].to_numpy()
             part = coarse.assign(x)
             unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
             code = np.concatenate([encode(coarse.units(x[i : i + 2048], part[i : i + 2048]), unit[i : i + 2048], books, eta)[0] for i in range(0, len(x), 2048)]) if len(x) else np.zeros((0, dims // 2), np.int64)
             packed = (code[:, 0::2] * CENTRES + code[:, 1::2]).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch["row"], batch["id"], batch["v"], pa.array(part), pa.array(coarse.block[part]), pa.array([r.tobytes() for r in packed], pa.binary())], ["row", "id", "v", "part", "block", "code"])
-
-    held = materialize(rows.mapInArrow(placed, "row bigint, id bigint, v array<float>, part bigint, block bigint, code binary"), "ann-codes")
+            first = batch["members"].flatten().field("id").take(pa.array(batch["members"].offsets.to_numpy()[:-1] - batch["members"].offsets[0].as_py()))
+            arrays = [batch["u"], first, batch["v"], batch["members"], pa.array(part), pa.array(coarse.place(part, u)), pa.array([r.tobytes() for r in packed], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["u", "id", "v", "members", "part", "block", "code"])
+
+    held = materialize(entries.mapInArrow(placed, f"u bigint, id bigint, v array<float>, members {_MEMBERS}, part bigint, block bigint, code binary"), "ann-codes")
+    # groups of about as many queries as a block has entries
+    ratio = max(1, round(float(coarse.count.sum()) / max(1, units.count())))
+    parts_of: dict[int, list[int]] = {}
+    for p, (b, n) in enumerate(zip(coarse.block.tolist(), coarse.blocks.tolist())):
+        for i in range(n):
+            parts_of.setdefault(b + i, []).append(p)
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch["v"], dims)
+            x, group = _matrix(batch["v"], dims), pa.array(batch["block"].to_numpy() // ratio)
             for i in range(0, len(x), 2048):
                 where = visits(coarse, x[i : i + 2048], k, miss)
-                for b in np.unique(coarse.block[where.any(0)]):
-                    parts = np.flatnonzero(coarse.block == b)
+                for b, parts in parts_of.items():
                     own = where[:, parts]
                     who = np.flatnonzero(own.any(1))
+                    if not len(who):
+                        continue
                     r, p = np.nonzero(own[who])
-                    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(r, np.arange(len(who) + 1)), pa.int32()), pa.array(parts[p]))
+                    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(r, np.arange(len(who) + 1)), pa.int32()), pa.array(np.array(parts)[p]))
                     at = pa.array(who + i)
-                    yield pa.RecordBatch.from_arrays([batch["block"].take(at), pa.array(np.full(len(who), b)), batch["row"].take(at), batch["id"].take(at), batch["v"].take(at), lists], ["a", "b", "row", "id", "v", "parts"])
-
-    asked = materialize(held.select("block", "row", "id", "v").mapInArrow(routed, "a bigint, b bigint, row bigint, id bigint, v array<float>, parts array<bigint>"), "ann-queries")
-    pairs = asked.select("a", "b").distinct()
-    met = held.withColumnRenamed("block", "b").join(pairs, "b").select(F.col("a").alias("with_a"), F.col("b").alias("with_b"), "row", "id", "v", "part", "code")
-    best = asked.groupBy("a", "b").cogroup(met.groupBy("with_a", "with_b")).applyInArrow(_search(coarse, books, dims, k, shortlist), out)
-    order = Window.partitionBy("row").orderBy(F.desc("score"), F.asc_nulls_last("n_id"), "n_row")
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("id", "rank", F.col("n_id").alias("neighbour"), "score")
+                    yield pa.RecordBatch.from_arrays([group.take(at), pa.array(np.full(len(who), b)), batch["u"].take(at), batch["v"].take(at), lists], ["a", "b", "u", "v", "parts"])
+
+    told = materialize(held.select("block", "u", "v").join(units, "u", "left_semi").select("block", "u", "v").mapInArrow(routed, "a bigint, b bigint, u bigint, v array<float>, parts array<bigint>"), "ann-queries")
+    pairs = told.select("a", "b").distinct()
+    met = held.withColumnRenamed("block", "b").join(pairs, "b").select(F.col("a").alias("with_a"), F.col("b").alias("with_b"), "u", "id", "v", "members", "part", "code")
+    best = told.groupBy("a", "b").cogroup(met.groupBy("with_a", "with_b")).applyInArrow(_search(coarse, books, dims, k, shortlist), _FOUND)
+    order = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("n_id"), "n_row")
+    top = best.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+    each = F.transform("members", lambda m: F.struct((-F.col("score")).alias("less"), m["id"].isNull().alias("z"), m["id"].alias("id"), m["row"].alias("row")))
+    near = top.groupBy(F.col("q").alias("u")).agg(F.slice(F.array_sort(F.flatten(F.collect_list(each))), 1, k + 1).alias("near"))
+    # a row is its own neighbour in the list of its vector
+    others = F.slice(F.filter("near", lambda x: x["row"] != F.col("own")), 1, k)
+    ranked = asked.withColumnRenamed("row", "own").join(near, "u").select("id", F.posexplode(others).alias("at", "x"))
+    return ranked.select("id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias("neighbour"), (-F.col("x.less")).alias("score"))

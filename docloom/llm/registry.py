@@ -12,6 +12,8 @@ from docloom.llm import ann, chat, merkle, neardup, packing, pieces, pii, qualit
 #: Regions by capacity, four racks of eight shards each; and the same after a rack was doubled and a shard drained.
 BEFORE = sharding.grid({"ap": 1, "eu": 2, "us": 3}, 4, 8)
 AFTER = sharding.grid({"ap": 1, "eu": 2, "us": 3}, 4, 8, {"eu/r2": 2, "us/r1/s3": 0})
+#: Searches ask for the rows whose id is divisible by this, against all rows.
+QUERY_EVERY = 50
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +25,7 @@ def op1_pii_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ann.neighbours(_table(spark, sf_dir, "embeddings"))
+    found = ann.neighbours(_table(spark, sf_dir, "embeddings"), queries=F.col("id") % QUERY_EVERY == 0)
     return found.select(F.col("id").alias("vec_id"), "rank", "neighbour", "score")
 
 

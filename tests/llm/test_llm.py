@@ -132,6 +132,43 @@ def test_ann_recall_against_brute_force(spark):
     assert np.allclose(g[found["id"], found["neighbour"]], found["score"], atol=1e-3)
 
 
+def test_ann_queries_against_all_rows(spark):
+    rng = np.random.default_rng(11)
+    n = 10_000
+    centers = rng.normal(size=(40, 32))
+    x = np.where(np.arange(n)[:, None] % 2 == 0, rng.normal(size=(n, 32)), centers[rng.integers(0, 40, n)] + 0.3 * rng.normal(size=(n, 32))).astype(np.float32)
+    x[1::3] = x[1]  # a third of all rows are copies
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    found = ann.neighbours(table, queries=F.col("id") % 50 == 0).toPandas()
+    asked = np.arange(0, n, 50)
+    assert sorted(found["id"].unique()) == asked.tolist() and len(found) == 10 * len(asked)
+    g = x[asked] @ x.T
+    g[np.arange(len(asked)), asked] = -np.inf
+    least = np.sort(g, 1)[:, -10]
+    got = g[found["id"] // 50, found["neighbour"]]
+    assert np.allclose(got, found["score"], atol=1e-3) and (got >= least[found["id"] // 50] - 1e-4).mean() >= 0.9
+
+
+def test_ann_copies_cost_what_one_row_does(spark):
+    table = spark.range(50_000).selectExpr("id as vec_id", "array(cast(1.0 as float), cast(if(id % 50 = 49, 2.0, 0.5) as float)) as embedding")
+    found = ann.neighbours(table, queries=F.col("id") % 500 == 0).toPandas()
+    assert len(found) == 1000 and found.groupby("id")["neighbour"].apply(list).map(lambda x: x == [49 + 50 * i for i in range(10)]).all()
+    found = ann.neighbours(table, queries=F.col("id").isin(49, 99, 49_999)).toPandas()
+    for i in (49, 99, 49_999):
+        want = [x for x in range(49, 50_000, 50) if x != i][:10]
+        assert found[found["id"] == i].sort_values("rank")["neighbour"].tolist() == want
+
+
+def test_ann_large_partitions_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 40)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(300, 8)) * 0.01 + 3, rng.normal(size=(100, 8))]).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    found = ann.neighbours(table, k=5).toPandas()
+    g, least = _exact(x, 5)
+    assert len(found) == 2000 and (g[found["id"], found["neighbour"]] >= least[found["id"]] - 1e-4).mean() >= 0.9
+
+
 def test_ann_odd_rows(spark):
     rows = [(1, [1.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0]), (2, [1.0, 0.0, 0.0]), (None, [0.5, 0.0, 0.0]), (3, None), (4, [1.0]), (5, [float("nan"), 0.0, 1.0]), (6, [None, 1.0, 1.0]), (7, [0.0, 0.0, 0.0]), (8, [])]
     table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").selectExpr("*", "1 as row", "2 as part")
