@@ -4,7 +4,8 @@ Transducers rewrite a text in turn and keep, for every character they put out,
 the source characters it stands for:
 
 1. ``fold``: homoglyphs, full-width and other look-alike letters, digits and
-   punctuation become ASCII; invisible characters vanish;
+   punctuation become ASCII, ligatures and dotted or bracketed numbers several
+   characters of it; invisible characters vanish;
 2. ``digits``: runs of three or more spelled digits (English, German, French,
    Spanish) become digits, spelled dots and plus signs among them too;
 3. ``at_and_dot``: bracketed, bare, underscored and HTML-escaped "at" and "dot".
@@ -97,9 +98,21 @@ def _fold_table() -> dict[int, str]:
     return table
 
 
-FOLD = _fold_table()
+def _wide_table() -> dict[str, str]:
+    """Characters that stand for several ASCII ones: ligatures, bracketed and dotted numbers, units."""
+    found = {}
+    for lo, hi in [(0x2000, 0x2C00), (0x3200, 0x3400), (0xFB00, 0xFB07), (0x1F100, 0x1F200)]:
+        for ch in map(chr, range(lo, hi)):
+            n = unicodedata.normalize("NFKC", ch)
+            if len(n) > 1 and n.isascii() and " " not in n:
+                found[ch] = n
+    return found
+
+
+FOLD, WIDE = _fold_table(), _wide_table()
 _HIDDEN = "­​-‏‪-‮⁠-⁤﻿︀-️"
 _INVISIBLE = re.compile(f"[{_HIDDEN}]+")
+_WIDE = re.compile("[" + "".join(WIDE) + "]")
 _FOLDED = re.compile("[" + "".join(re.escape(chr(c)) for c in FOLD) + _HIDDEN + "]")
 DIGITS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
@@ -126,6 +139,7 @@ _DOTTED_NUMBER = re.compile(rf"(?<!\w)\d{{1,3}}(?:\s*(?:\.|\b{_DOT_WORD}\b)\s*\d
 def fold(tape: Tape) -> None:
     if not tape.text.isascii():
         tape.rewrite(_INVISIBLE, lambda m: "")
+        tape.rewrite(_WIDE, lambda m: WIDE[m.group()])
         if _FOLDED.search(tape.text):
             tape.text = tape.text.translate(FOLD)
 
@@ -228,7 +242,7 @@ def redact(text: str, found: list[tuple[int, int, str]]) -> str:
 
 # --- Spark -------------------------------------------------------------------
 
-_FOLD_RANGES = r"\x{00ad}\x{00b2}\x{00b3}\x{00b7}\x{00b9}\x{0131}\x{0250}-\x{02af}\x{0370}-\x{058f}\x{0660}-\x{06f9}\x{0966}-\x{096f}\x{2000}-\x{2bff}\x{3000}-\x{3002}\x{fe00}-\x{fe6f}\x{feff}-\x{ffef}\x{1d400}-\x{1d7ff}\x{1f100}-\x{1f18f}"
+_FOLD_RANGES = r"\x{00ad}\x{00b2}\x{00b3}\x{00b7}\x{00b9}\x{0131}\x{0250}-\x{02af}\x{0370}-\x{058f}\x{0660}-\x{06f9}\x{0966}-\x{096f}\x{2000}-\x{2bff}\x{3000}-\x{3002}\x{3200}-\x{33ff}\x{fb00}-\x{fb06}\x{fe00}-\x{fe6f}\x{feff}-\x{ffef}\x{1d400}-\x{1d7ff}\x{1f100}-\x{1f1ff}"
 # what Python's \s and \d match; RE2's own are ASCII
 _WS = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _S, _D = f"[{_WS}]", r"\p{Nd}"

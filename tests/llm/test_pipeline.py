@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from docloom.llm import pii
+from docloom.llm import packing, pii
 
 SF = "/root/testdata/sf0.01"
 
@@ -35,5 +35,33 @@ def test_stages_keep_columns_and_take_effect(spark):
         assert redacted[r.doc_id].text == pii.redact(r.text, found) and redacted[r.doc_id].n_chars == len(redacted[r.doc_id].text)
     packed = seen["best-fit packing"].collect()
     assert {i for r in packed for i in r.doc_ids} == ids["PII"]
-    assert sum(r.used for r in packed) == sum(len(r.text) for r in redacted.values())
+    assert all(r.used == len(r.text) <= packing.CAPACITY for r in packed)
+    assert sum(sum(r.lengths) for r in packed) == sum(len(r.text) for r in redacted.values())
+    for r in packed:
+        pieces = [redacted[i].text[s : s + n] for i, s, n in zip(r.doc_ids, r.starts, r.lengths)]
+        assert r.text == corpus_pipeline.SEPARATOR.join(pieces)
     assert corpus_pipeline.run(spark, SF).count() == len(packed)
+
+
+ODD = [
+    (1, None), (2, ""), (3, "  \n "), (None, "some plain text of a row without an id"), (4, "the same text in two rows of one id"), (4, "the same text in two rows of one id"),
+    (5, "the same text in two rows of one id"), (6, " ".join(f"w{i}" for i in range(60_000))), (7, "write to ann.b7@x.example.org about it"),
+]
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    more = ["cast(null as bigint) as n_chars", "1 as keep", "'x' as node", "2L as t", "true as held", "'y' as x", "3 as length", "4 as grp", "5 as n", "6 as used", "array(7) as texts"]
+    table = spark.createDataFrame(ODD, "doc_id bigint, text string").selectExpr("*", *more)
+    for docs, want in ((table, [[*range(1, 8), 4, None], [4, 4, 5, 6, 7, None], [4, 6, 7, None], [4, 6, 7, None]]), (table.limit(0), [[]] * 4)):
+        for (name, stage), ids in zip(corpus_pipeline.STAGES, want):
+            columns = docs.dtypes
+            docs = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)), "test-odd")
+            # each stage by itself, too, on all odd rows
+            assert corpus_pipeline.materialize(stage(spark, table, str(tmp_path)), "test-odd").count() > 0
+            if name == "PII" and ids:
+                found = {r.doc_id: r for r in docs.collect()}
+                assert found[7].text == "write to [EMAIL] about it" and found[7].n_chars == len(found[7].text)
+            assert docs.dtypes == columns and sorted(map(str, [r.doc_id for r in docs.collect()])) == sorted(map(str, ids)), name
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert all(r.used == len(r.text) <= packing.CAPACITY for r in last) and {i for r in last for i in r.doc_ids} == set(want[-1])
