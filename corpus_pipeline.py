@@ -4,6 +4,10 @@
 the reread table to the next one.  All stages but the last return the columns
 of documents; the last returns packed sequences, whose ``doc_ids`` say what
 went into them.
+
+Each stage takes any table with ``doc_id`` and ``text``, whatever other columns
+it has, and keeps these as they are; an empty table gives an empty one.  Repeated
+rows are documents like any others until near-duplicates go.
 """
 
 from __future__ import annotations
@@ -26,24 +30,36 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxic documents go."""
+    """Toxic documents go.
+
+    Null, empty and blank texts are never toxic and stay; without labels of both
+    classes nothing can be told apart and all stay.  Repeated rows share their fate.
+    """
     return toxicity.keep_clean(docs, _labels(spark, sf_dir))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    Null, empty and blank texts hold no word and go; without trusted positives
+    every document with a word stays.  Repeated rows share their fate.
+    """
     return quality.keep_good(docs, _labels(spark, sf_dir))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays: that of lowest doc_id, null ids last, and one of its repeated rows.
+
+    Documents without a word (null, empty, blank) are groups of their own and stay.
+    """
     return neardup.deduplicate(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; every document stays.
 
-    ``n_chars`` follows the text, where the table has that column.
+    ``n_chars`` follows the text, where the table has that column.  Null and
+    empty texts stay as they are; repeated rows give equal rows.
     """
     out = pii.redacted(docs)
     if "n_chars" in docs.columns:
@@ -52,8 +68,13 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(seq_id, used, doc_ids, starts, lengths, text): one row per training sequence."""
-    found = packing.sequences(docs, keep_text=True)
+    """(seq_id, used, doc_ids, starts, lengths, text): one row per training sequence.
+
+    ``used`` is the length of ``text``, separators included, and at most
+    ``packing.CAPACITY``.  Null and empty texts are in no sequence; repeated rows
+    are packed one by one.
+    """
+    found = packing.sequences(docs, keep_text=True, separator=len(SEPARATOR))
     return found.withColumn("text", F.array_join("texts", SEPARATOR)).drop("texts")
 
 
