@@ -48,8 +48,8 @@ class Options:
     extensions: tuple[str, ...] = (".pdf", ".docx", ".xlsx")
     skip_existing: bool = True
     output_directory: str = ""
-    #: Larger files are reported, not read: a row holds its whole file.
-    most_bytes: int = 1 << 30
+    #: Larger files are reported, not read: a row holds its whole file, and can't hold more.
+    most_bytes: int = (1 << 31) - (1 << 16)
     pdf: PdfOptions = field(default_factory=PdfOptions)
     docx: WordOptions = field(default_factory=WordOptions)
     xlsx: SheetOptions = field(default_factory=SheetOptions)
@@ -78,7 +78,8 @@ class Layout:
     ref_share: float = 0.8
     wrap: float = 10
     same_line: float = 2
-    known_headers: tuple[str, ...] = ()
+    #: A header row that holds one of these makes a table of three items or more.
+    known_headers: tuple[str, ...] = ("Version Date Description", "Element Evaluator Actions", "Requirement Dependency")
 
 
 LAYOUT = Layout()

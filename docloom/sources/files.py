@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +13,9 @@ from pyspark.sql.window import Window
 from docloom.options import Options
 
 
+KNOWN = (".pdf", ".docx", ".xlsx")
+
+
 def normalized(extensions: Sequence[str]) -> list[str]:
     """Lower case, with a dot."""
     return [e.lower() if e.startswith(".") else f".{e.lower()}" for e in extensions]
@@ -56,50 +60,85 @@ def _has_links(root: str) -> bool:
 def read(spark: SparkSession, path: str, options: Options | None = None) -> DataFrame:
     """(doc_id, ext, length, modified, content) of the files at a path or glob with wanted extensions."""
     o = options or Options()
-    local = path[7:] if path.startswith("file://") else path
-    if "://" not in local and not any(c in local for c in "*?[{"):
-        if not os.path.exists(local):
+    at = local(path)
+    if "://" not in at and not any(c in at for c in "*?[{"):
+        if not os.path.exists(at):
             raise FileNotFoundError(path)
-        if os.path.isdir(local) and not o.recursive:
+        if os.path.isdir(at) and not o.recursive:
             raise IsADirectoryError(f"{path} is a folder: set recursive")
+        if os.path.isfile(at) and os.path.splitext(at)[1].lower() not in KNOWN:
+            raise ValueError(f"unsupported file type: {os.path.splitext(at)[1] or at} (supported: {', '.join(KNOWN)})")
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(o.recursive).lower())
     if o.recursive:
         reader = reader.option("pathGlobFilter", glob(o.extensions))
-    if o.recursive and os.path.isdir(local) and _has_links(local):
+    if o.recursive and os.path.isdir(at) and _has_links(at):
         # links may lead in circles, and to files met before: each real file is read once
         paths: dict[str, str] = {}
-        for p, real in walk(local):
+        for p, real in walk(at):
             if os.path.splitext(p)[1].lower() in normalized(o.extensions):
                 paths.setdefault(real, p)
         reader = spark.read.format("binaryFile")
         path = list(paths.values())
         if not paths:
-            reader, path = spark.read.format("binaryFile").option("pathGlobFilter", "*.no-such-extension"), local
+            reader, path = spark.read.format("binaryFile").option("pathGlobFilter", "*.no-such-extension"), at
     found = reader.load(path).select(F.col("path").alias("doc_id"), extension(F.col("path")).alias("ext"), "length", F.col("modificationTime").alias("modified"), "content")
     return found.where(F.col("ext").isin(*normalized(o.extensions)))
 
 
+def local(path: str) -> str:
+    """A path, or ``file:`` address, as the file system that all executors mount knows it."""
+    return "/" + path[5:].lstrip("/") if path.startswith("file:") else path
+
+
+def _bases(ids: DataFrame, o: Options) -> DataFrame:
+    """``ids`` (doc_id) with __base: the output path without number and '.md'."""
+    name = F.regexp_extract("doc_id", r"([^/\\]+)$", 1)
+    return ids.withColumn("__base", F.concat(F.lit(o.output_directory.rstrip("/") + "/"), name) if o.output_directory else F.col("doc_id"))
+
+
+def existing(ids: DataFrame, options: Options | None = None) -> DataFrame:
+    """(path) of the files that are where ``ids`` (doc_id) would be written.
+
+    Executors look at the names that could be chosen, as many as it takes to
+    find a free one for each file that meets at a name; no folder is listed.
+    """
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for base, n in zip(batch["__base"], batch["n"]):
+                free = i = 0
+                while free < n:
+                    path = f"{base}.md" if i == 0 else f"{base}-{i}.md"
+                    if os.path.exists(local(path)):
+                        found.append(path)
+                    else:
+                        free += 1
+                    i += 1
+            yield pd.DataFrame({"path": found}, dtype=object)
+
+    return _bases(ids, options or Options()).groupBy("__base").agg(F.count("*").alias("n")).mapInPandas(look, "path string")
+
+
 def targets(files: DataFrame, existing: DataFrame, options: Options | None = None) -> DataFrame:
     """``files`` (doc_id) with output_path and status 'new' or 'skipped'.
 
     The output lies beside the input, or flat in the output folder; files that
     meet at one name get '-1', '-2' and so on, the first by path the plain one.
-    ``existing`` (path) holds what is there: skipped, or passed over by number.
+    ``existing`` (path) holds what is there: a file whose own name is taken is
+    skipped, so a second run skips what the first one wrote; without
+    ``skip_existing`` it gets the next free number instead.
     """
     o = options or Options()
-    name = F.regexp_extract("doc_id", r"([^/\\]+)$", 1)
-    base = F.concat(F.lit(o.output_directory.rstrip("/") + "/"), name) if o.output_directory else F.col("doc_id")
-    rows = files.withColumn("__base", base)
-    # free numbers of a name: those whose path isn't taken
+    rows = _bases(files, o)
+    # 'a.pdf.md' is the plain name of a.pdf, 'a.pdf-1.md' the next
     taken = existing.select(F.regexp_extract("path", r"^(.*?)(?:-([0-9]+))?\.md$", 1).alias("__stem"), F.regexp_extract("path", r"^(.*?)(?:-([0-9]+))?\.md$", 2).alias("__n"))
     taken = taken.groupBy("__stem").agg(F.collect_set(F.when(F.col("__n") == "", F.lit(0)).otherwise(F.col("__n").cast("int"))).alias("__taken"))
-    # 'a.pdf.md' is the plain name of a.pdf, 'a.pdf-1.md' the next
     rows = rows.join(taken, rows["__base"] == taken["__stem"], "left").drop("__stem")
     rank = F.row_number().over(Window.partitionBy("__base").orderBy("doc_id")) - 1
     rows = rows.withColumn("__rank", rank).withColumn("__taken", F.coalesce("__taken", F.array().cast("array<int>")))
-    exists = F.array_contains("__taken", 0) & (F.col("__rank") == 0)
     if o.skip_existing:
-        number, status = F.col("__rank"), F.when(exists, F.lit("skipped")).otherwise(F.lit("new"))
+        number, status = F.col("__rank"), F.when(F.array_contains("__taken", F.col("__rank")), F.lit("skipped")).otherwise(F.lit("new"))
     else:
         free = F.filter(F.sequence(F.lit(0), F.col("__rank") + F.size("__taken")), lambda i: ~F.array_contains(F.col("__taken"), i))
         number, status = F.get(free, F.col("__rank")), F.lit("new")
@@ -107,6 +146,13 @@ def targets(files: DataFrame, existing: DataFrame, options: Options | None = Non
     return rows.withColumn("output_path", path).withColumn("status", status).drop("__base", "__rank", "__taken")
 
 
+def _save(path: str, data: bytes) -> None:
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(f"{path}.part", "wb") as f:
+        f.write(data)
+    os.replace(f"{path}.part", path)
+
+
 def write_texts(converted: DataFrame) -> None:
     """Writes (output_path, markdown) as files, each executor its own rows.
 
@@ -116,12 +162,16 @@ def write_texts(converted: DataFrame) -> None:
 
     def save(rows: Iterator) -> None:
         for row in rows:
-            path = row.output_path.removeprefix("file:")
-            path = "/" + path.lstrip("/") if row.output_path.startswith("file:") else path
-            os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-            part = f"{path}.part"
-            with open(part, "w", encoding="utf-8", newline="") as f:
-                f.write(row.markdown)
-            os.replace(part, path)
+            _save(local(row.output_path), row.markdown.encode())
 
     converted.select("output_path", "markdown").foreachPartition(save)
+
+
+def write_images(found: DataFrame) -> None:
+    """Writes (image_path, data) as files, in the same way; images without data are left out."""
+
+    def save(rows: Iterator) -> None:
+        for row in rows:
+            _save(local(row.image_path), bytes(row.data))
+
+    found.where(F.length("data") > 0).select("image_path", "data").foreachPartition(save)
