@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -105,17 +106,21 @@ def convert_files(found: DataFrame, options: Options | None = None, targets: Dat
     plain = plain.select("doc_id", state.alias("status"), F.when(large, F.lit("file too large")).alias("error"))
     log = plain if log is None else log.unionByName(plain)
     of = lambda ext: found.where(~large & (F.col("ext") == ext))
+    kinds = {r.ext for r in found.select("ext").distinct().collect()}
     books, texts = stored(xlsx.decode(of(".xlsx")), "xlsx"), stored(docx.decode(of(".docx")), "docx")
     prints = stored(pdf.decode(of(".pdf"), o.pdf.images or o.pdf.scan_mode), "pdf")
-    markdown = xlsx_plan.markdown(books, o.xlsx).unionByName(docx_plan.markdown(texts, o.docx)).unionByName(pdf_plan.markdown(prints, o.pdf))
+    made = []
+    for ext, decoded, plan, own in ((".xlsx", books, xlsx_plan, o.xlsx), (".docx", texts, docx_plan, o.docx), (".pdf", prints, pdf_plan, o.pdf)):
+        if ext in kinds:  # a plan without a file would cost its jobs all the same
+            made.append(plan.markdown(decoded, own))
+    markdown = reduce(DataFrame.unionByName, made) if made else spark.createDataFrame([], "doc_id string, markdown string")
     state = F.when(F.col("error").isNull(), F.lit("converted")).otherwise(F.lit("failed"))
     for decoded in (books, texts):
         log = log.unionByName(decoded.select("doc_id", state.alias("status"), "error"))
     log = log.unionByName(prints.select("doc_id", F.when(F.col("status") == "ok", F.lit("converted")).otherwise(F.col("status")).alias("status"), "error"))
-    shown = _images(texts, prints, o) if o.docx.images or o.pdf.images or o.pdf.scan_mode else spark.createDataFrame([], _IMAGE)
+    shown = _images(texts, prints, o) if kinds & {".pdf", ".docx"} and (o.docx.images or o.pdf.images or o.pdf.scan_mode) else spark.createDataFrame([], _IMAGE)
     pages = prints.select("doc_id", "n_pages", F.inline("pages")).select("doc_id", "page_idx", "n_pages")
-    edge = sheets.bounds(sheets.cells(books))
-    parsed = sheets.sheets(books).join(edge, sheets.SHEET, "left").select(*sheets.SHEET, "sheet_name", F.coalesce("max_row", F.lit(0)).alias("rows"), F.coalesce("max_col", F.lit(0)).alias("cols"))
+    parsed = sheets.sheets(books).select(*sheets.SHEET, "sheet_name", "rows", "cols")
     return Conversion(markdown, shown, log, o, targets, pages, parsed)
 
 

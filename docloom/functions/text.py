@@ -43,48 +43,6 @@ def list_level(x: Column, least_x: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(6), F.floor((x - least_x) / 20).cast("int")))
 
 
-def is_repetitive(text: Column) -> Column:
-    """A phrase of one to four words that fills a long text more than five times over."""
-    words = F.filter(F.split(strip(text), r"\s+"), lambda w: w != "")
-    n = F.size(words)
-
-    def repeated(k: int) -> Column:
-        first = F.array_join(F.slice(words, 1, k), " ")
-        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), n - k), F.lit(k))
-        same = F.filter(starts, lambda i: F.array_join(F.slice(words, i + 1, k), " ") == first)
-        return (n >= 4 * k) & (F.size(same) > 5)
-
-    any_ = repeated(1) | repeated(2) | repeated(3) | repeated(4)
-    return F.coalesce((F.octet_length(text) >= 100) & (n >= 6) & any_, F.lit(False))
-
-
-def link_word(word: Column) -> Column:
-    """struct(s, type): web addresses become links."""
-    return F.struct(
-        F.when(word.startswith("www."), F.concat(F.lit("http://"), word)).otherwise(word).alias("s"),
-        F.when(word.rlike("^(?:https?:|www\\.)"), F.lit("LINK")).alias("type"),
-    )
-
-
-def note_mark(word: Column) -> Column:
-    """``word(12)`` as ``word[^12]``, unless it reads like a call or a counted thing."""
-    pattern = r"^(.+)\(([0-9]{1,2})\)$"
-    head, number = F.regexp_extract(word, pattern, 1), F.regexp_extract(word, pattern, 2)
-    marks = (number != "") & ~F.lower(head).isin(*NOT_NOTES)
-    return F.when(marks, F.concat(head, F.lit("[^"), number.cast("int").cast("string"), F.lit("]"))).otherwise(word)
-
-
-def word_text(word: Column) -> Column:
-    """Markdown of a struct(s, type, ...)."""
-    s = word["s"]
-    return (
-        F.when(word["type"] == "LINK", F.concat(F.lit("["), s, F.lit("]("), s, F.lit(")")))
-        .when(word["type"] == "FOOTNOTE_LINK", F.concat(F.lit("[^"), s, F.lit("]")))
-        .when(word["type"] == "IMAGE", F.concat(F.lit("!["), s, F.lit("]")))
-        .otherwise(s)
-    )
-
-
 def join_hyphens(text: Column) -> Column:
     return F.replace(text, F.lit("- "), F.lit(""))
 

@@ -2,7 +2,7 @@
 
 What a page's items become depends on choices made item after item (anchored
 lines, greedy rows, table regions), which no window expresses; they run in one
-vectorised Python call per document, all pages of a document in order.  All
+Python call per page, on its items in order.  All
 else is relational.  Order is total: y, then x, then the item's number.
 """
 
@@ -328,6 +328,11 @@ def two_columns(items: Sequence[Item]) -> tuple[list[Item], list[Item]] | None:
     return left, right
 
 
+def region_at(y: float, regions: Sequence[Region], o: Layout = LAYOUT) -> int | None:
+    """Number of the first region around y."""
+    return next((n for n, r in enumerate(regions) if r.top - o.region <= y <= r.bottom + o.region), None)
+
+
 def repeats_itself(text: str) -> bool:
     if len(text.encode()) < 100:
         return False
@@ -349,12 +354,12 @@ def page_groups(items: Sequence[Item], distance: float, footer: float, o: Layout
     if not regions:
         sides = two_columns(own)
         return [Group(line) for side in (sides or (own,)) for line in lines_of(side, distance)]
-    where = lambda y: next((r for r in regions if r.top - o.region <= y <= r.bottom + o.region), None)
     out: list[Group] = []
     run: list[Item] = []
     at: Region | None = None
     for item in [*by_y(own), None]:
-        region = where(item.y) if item else None
+        n = region_at(item.y, regions, o) if item else None
+        region = None if n is None else regions[n]
         if run and (item is None or region is not at):
             if at:
                 out += [Group(r, at.columns, k == 0 and at.header) for k, r in enumerate(rows_of(run, at.columns, distance, o))]
@@ -416,29 +421,25 @@ def lines(items: DataFrame, stats: DataFrame, pages: DataFrame, o: Layout = LAYO
     """Lines of (doc_id, page_idx, seq, x, y, width, height, text, font) items: the schema ``LINES``.
 
     ``stats`` gives each document's line distance and styles of fonts, ``pages``
-    the heights.  One shuffle, on the document.
+    the heights.  A page is laid out by itself, so a document of very many pages
+    is spread over the workers.
     """
-    rows = items.join(stats.select("doc_id", "distance", "styles"), "doc_id").join(pages.select("doc_id", "page_idx", F.col("height").alias("page_h")), ["doc_id", "page_idx"], "left")
+    known = stats.select("doc_id", "distance", "styles")
+    rows = items.join(known, "doc_id").join(pages.select("doc_id", "page_idx", F.col("height").alias("page_h")), ["doc_id", "page_idx"], "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         styles = pdf["styles"].iloc[0]
         styles = dict(styles) if styles is not None else {}
-        distance = float(pdf["distance"].iloc[0])
-        for page, own in pdf.groupby("page_idx", sort=True):
-            h = own["page_h"].iloc[0]
-            footer = h * o.footer_share if h == h and h else o.footer_y
-            for group in page_groups(_items(own), distance, footer, o):
-                row = line_row(group, styles)
-                if row:
-                    out.append({"doc_id": pdf["doc_id"].iloc[0], "page_idx": int(page)} | row)
-        numbers: dict[int, int] = defaultdict(int)
-        for row in out:
-            row["line_no"] = numbers[row["page_idx"]]
-            numbers[row["page_idx"]] += 1
+        h = pdf["page_h"].iloc[0]
+        footer = h * o.footer_share if h == h and h else o.footer_y
+        for group in page_groups(_items(pdf), float(pdf["distance"].iloc[0]), footer, o):
+            row = line_row(group, styles)
+            if row:
+                out.append({"doc_id": pdf["doc_id"].iloc[0], "page_idx": int(pdf["page_idx"].iloc[0]), "line_no": len(out)} | row)
         return pd.DataFrame(out, columns=COLUMNS)
 
-    return rows.groupBy("doc_id").applyInPandas(run, LINES)
+    return rows.groupBy("doc_id", "page_idx").applyInPandas(run, LINES)
 
 
 def line_numbers(items: DataFrame, distance: float) -> DataFrame:
@@ -463,28 +464,52 @@ def table_rows(items: DataFrame, columns: Sequence[float], distance: float) -> D
     return items.select("doc_id", "seq", "x", "y").groupBy("doc_id").applyInPandas(run, "doc_id bigint, seq int, row_no int")
 
 
-def column_number(x: Column, columns: Column, tolerance: float = LAYOUT.bucket) -> Column:
-    """``column_of`` as an expression, for ascending columns."""
-    return F.greatest(F.size(F.filter(columns, lambda c: x >= c - tolerance)) - 1, F.lit(0))
+def columns_at(items: DataFrame, columns: Sequence[float]) -> DataFrame:
+    """``items`` (x, …) with col, the number of the column that x is in."""
+
+    @F.pandas_udf("int")
+    def col(x: pd.Series) -> pd.Series:
+        return pd.Series([column_of(v, columns) for v in x], dtype="int32")
+
+    return items.withColumn("col", col("x"))
+
+
+def regions_at(items: DataFrame, spans: Sequence[tuple[float, float]]) -> DataFrame:
+    """``items`` (y, …) with region, the number of the first (top, bottom) around y."""
+    regions = [Region(a, b, [], False) for a, b in spans]
+
+    @F.pandas_udf("int")
+    def region(y: pd.Series) -> pd.Series:
+        return pd.Series([region_at(v, regions) for v in y], dtype="Int32")
+
+    return items.withColumn("region", region("y"))
 
 
-def region_number(y: Column, regions: Column, tolerance: float = LAYOUT.region) -> Column:
-    """Number of the first (lo, hi) region around y, from 0; null outside all."""
-    found = F.filter(F.transform(regions, lambda r, i: F.struct(r["lo"].alias("lo"), r["hi"].alias("hi"), i.alias("i"))), lambda r: (y >= r["lo"] - tolerance) & (y <= r["hi"] + tolerance))
-    return F.get(found, F.lit(0))["i"]
+def repetitive(text: Column) -> Column:
+    """Whether a text repeats a phrase over and over."""
 
+    @F.pandas_udf("boolean")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: repeats_itself(t or ""))
 
-def column_pages(items: DataFrame) -> DataFrame:
-    """(doc_id, two_columns) by aggregates over (doc_id, x, y, text): the rule of ``two_columns``."""
-    edge = items.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    sided = items.join(edge, "doc_id").withColumn("right", F.col("x") >= F.col("lo") + (F.col("hi") - F.col("lo")) / 2)
-    text = F.trim("text")
-    fragment = F.substring(text, 1, 1).rlike("^[a-z.,;:–-]$")
-    full = text != ""
-    count = lambda c: F.sum(c.cast("int"))
-    counts = sided.groupBy("doc_id").agg(count(full & ~F.col("right")).alias("left_n"), count(full & F.col("right")).alias("right_n"), count(full & F.col("right") & fragment).alias("fragments"))
-    steps = sided.groupBy("doc_id", (F.col("y") * 10).cast("int").alias("k")).agg((F.max("right") & ~F.min("right")).alias("both"))
-    span = steps.groupBy("doc_id").agg(F.avg(F.col("both").cast("int")).alias("spanning"))
-    rule = (F.col("n") >= 10) & (F.col("hi") - F.col("lo") >= 200) & (F.col("left_n") >= 5) & (F.col("right_n") >= 5) & (F.col("spanning") <= 0.3) & (F.col("fragments") / F.col("right_n") >= 0.3)
-    return edge.join(counts, "doc_id").join(span, "doc_id").select("doc_id", F.coalesce(rule, F.lit(False)).alias("two_columns"))
+    return found(text)
+
+
+def words(text: Column) -> Column:
+    """The words of a line of one item, with links and calls of notes."""
+
+    @F.pandas_udf("array<struct<s:string,type:string,format:string>>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: words_of([Item(0, 0, 0, 0, t or "", "", 0)], t or "", None))
+
+    return found(text)
+
+
+def pages_of_two_columns(items: DataFrame) -> DataFrame:
+    """(doc_id, two_columns): whether the items (doc_id, seq, x, y, text) are two columns of text."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = [Item(float(x), float(y), 0, 0, t or "", "", int(n)) for x, y, t, n in zip(pdf["x"], pdf["y"], pdf["text"], pdf["seq"])]
+        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "two_columns": [two_columns(own) is not None]})
 
+    return items.select("doc_id", "seq", "x", "y", "text").groupBy("doc_id").applyInPandas(run, "doc_id bigint, two_columns boolean")

@@ -131,14 +131,12 @@ def heading_types(spark, d):
 
 @query(_I + " SELECT doc_id, seq, CASE WHEN y BETWEEN 0 - 10 AND 100 + 10 THEN 0 WHEN y BETWEEN 90 - 10 AND 200 + 10 THEN 1 WHEN y BETWEEN 400 - 10 AND 450 + 10 THEN 2 END::INT AS region FROM i")
 def region_membership(spark, d):
-    regions = F.array(*[F.struct(F.lit(float(a)).alias("lo"), F.lit(float(b)).alias("hi")) for a, b in ((0, 100), (90, 200), (400, 450))])
-    return _items(spark, d).select("doc_id", "seq", layout.region_number(F.col("y"), regions).alias("region"))
+    return layout.regions_at(_items(spark, d), [(0, 100), (90, 200), (400, 450)]).select("doc_id", "seq", "region")
 
 
 @query(_I + " SELECT doc_id, seq, CASE WHEN x >= 285 THEN 3 WHEN x >= 135 THEN 2 WHEN x >= 57 THEN 1 ELSE 0 END::INT AS col FROM i")
 def column_assignment(spark, d):
-    columns = F.array(*[F.lit(float(c)) for c in (0, 72, 150, 300)])
-    return _items(spark, d).select("doc_id", "seq", layout.column_number(F.col("x"), columns).alias("col"))
+    return layout.columns_at(_items(spark, d), [0.0, 72.0, 150.0, 300.0]).select("doc_id", "seq", "col")
 
 
 @query("WITH RECURSIVE i AS (" + _ITEMS.replace("{lineitem}", "lineitem") + """), o AS (SELECT doc_id, seq, y, row_number() OVER (PARTITION BY doc_id ORDER BY y, seq) AS n FROM i),
@@ -151,7 +149,17 @@ def greedy_lines(spark, d):
     return layout.line_numbers(_items(spark, d), 60)
 
 
-@query()
+@query("WITH RECURSIVE i AS (" + _ITEMS.replace("{lineitem}", "lineitem") + """), o AS (
+  SELECT doc_id, seq, y, CASE WHEN x >= 285 THEN 2 WHEN x >= 135 THEN 1 ELSE 0 END AS col, row_number() OVER (PARTITION BY doc_id ORDER BY y, seq) AS n FROM i
+), g AS (
+  SELECT doc_id, seq, n, 0::BIGINT AS row_no, [{'lo': y, 'hi': y, 'cols': [col]}] AS rows FROM o WHERE n = 1
+  UNION ALL SELECT doc_id, seq, n, coalesce(k, len(rows) + 1) - 1, CASE WHEN k IS NULL THEN list_append(rows, {'lo': y, 'hi': y, 'cols': [col]})
+    ELSE list_transform(rows, lambda r, i: CASE WHEN i = k THEN {'lo': least(r.lo, y), 'hi': greatest(r.hi, y), 'cols': list_append(r.cols, col)} ELSE r END) END
+  FROM (
+    SELECT o.*, g.rows, list_filter(range(1, len(g.rows) + 1), lambda i: g.rows[i].lo - 36 <= o.y AND o.y <= g.rows[i].hi + 36 AND (list_contains(g.rows[i].cols, o.col) OR g.rows[i].hi - g.rows[i].lo < 43.2))[1] AS k
+    FROM g JOIN o ON o.doc_id = g.doc_id AND o.n = g.n + 1
+  )
+) SELECT doc_id, seq, row_no::INT AS row_no FROM g""")
 def table_rows(spark, d):
     return layout.table_rows(_items(spark, d), [0.0, 150.0, 300.0], 12)
 
@@ -165,7 +173,7 @@ c AS (SELECT doc_id, any_value(n) AS n, any_value(hi - lo) AS w, count(*) FILTER
 k AS (SELECT doc_id, avg(CASE WHEN b THEN 1 ELSE 0 END) AS sp FROM (SELECT doc_id, trunc(y * 10)::INT AS k, bool_or(r) AND NOT bool_and(r) AS b FROM s GROUP BY 1, 2) GROUP BY doc_id)
 SELECT doc_id, n >= 10 AND w >= 200 AND ln >= 5 AND rn >= 5 AND sp <= 0.3 AND f / rn >= 0.3 AS two_columns FROM c JOIN k USING (doc_id)""")
 def two_column_pages(spark, d):
-    return layout.column_pages(_sql(spark, d, _SIDES))
+    return layout.pages_of_two_columns(_sql(spark, d, _SIDES).withColumn("seq", F.monotonically_increasing_id()))
 
 
 # --- repeated lines and blank pages ------------------------------------------
@@ -178,13 +186,18 @@ def _turn_lines(spark: SparkSession, d: str) -> DataFrame:
 _TURNS = "WITH l AS (SELECT conv_id AS doc_id, turn::INT AS page_idx, unnest(range(len(s)))::INT AS line_no, unnest(s) AS text FROM (SELECT conv_id, turn, string_split(regexp_replace(text, '[.!?] ', chr(10), 'g'), chr(10)) AS s FROM conversations))"
 
 
-@query(_TURNS + """, e AS (SELECT *, min(line_no) OVER w AS lo, max(line_no) OVER w AS hi FROM l WINDOW w AS (PARTITION BY doc_id, page_idx)),
-s AS (SELECT doc_id, page_idx, line_no, text, 'first' AS side FROM e WHERE line_no = lo UNION ALL SELECT doc_id, page_idx, line_no, text, 'last' FROM e WHERE line_no = hi),
-k AS (SELECT *, regexp_replace(upper(text), '[0-9 ' || chr(160) || ']', '', 'g') AS k FROM s),
-c AS (SELECT doc_id, side, k, count(*) AS n FROM k GROUP BY ALL), g AS (SELECT doc_id, count(DISTINCT page_idx) AS pages FROM l GROUP BY doc_id)
-SELECT DISTINCT k.doc_id, k.page_idx, k.line_no::DOUBLE AS y FROM k JOIN c USING (doc_id, side, k) JOIN g USING (doc_id) WHERE pages >= 3 AND n >= greatest(3, floor(pages * 2 / 3))""")
+_HEADED = """
+select c_nationkey as doc_id, page_idx, y, case when y = 0 then concat('Report of ', c_nationkey) when y = 9 then concat('- ', page_idx + 1, ' -') else c_name end as text from (
+  select c_nationkey, c_name, cast((n - n % 3) / 3 as int) as page_idx, explode(array(0, 1 + cast(n % 3 as int), 9)) as y from (
+    select c_nationkey, c_name, row_number() over (partition by c_nationkey order by c_custkey) - 1 as n from {customer}))
+"""
+
+
+@query("""WITH c AS (SELECT c_nationkey AS doc_id, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 3 AS page_idx FROM customer),
+g AS (SELECT doc_id, count(DISTINCT page_idx) AS pages FROM c GROUP BY doc_id)
+SELECT DISTINCT doc_id, page_idx::INT AS page_idx, unnest([0, 9])::DOUBLE AS y FROM c JOIN g USING (doc_id) WHERE pages >= 3""")
 def header_footer_repeats(spark, d):
-    lines = _turn_lines(spark, d)
+    lines = _sql(spark, d, _HEADED).distinct().select("doc_id", "page_idx", F.col("y").cast("double").alias("y"), F.col("y").alias("line_no"), "text")
     return repetition.repeated(lines, lines.groupBy("doc_id").agg(F.countDistinct("page_idx").alias("pages")))
 
 
@@ -227,20 +240,20 @@ def list_levels(spark, d):
 
 @query("SELECT page_id, CASE WHEN w LIKE 'www.%' THEN 'http://' || w ELSE w END AS s, CASE WHEN regexp_matches(w, '^(https?:|www\\.)') THEN 'LINK' END AS type FROM (SELECT page_id, regexp_replace(url, '^https://', 'www.') AS w FROM pages)")
 def link_words(spark, d):
-    word = T.link_word(F.regexp_replace("url", "^https://", "www."))
-    return _t(spark, d, "pages").select("page_id", word["s"].alias("s"), word["type"].alias("type"))
+    word = F.get(layout.words(F.regexp_replace("url", "^https://", "www.")), F.lit(0))
+    return _t(spark, d, "pages").select("page_id", word.alias("w")).select("page_id", "w.s", "w.type")
 
 
 @query(r"SELECT p_partkey, p_size, CASE WHEN regexp_extract(w, '^(.+)\(([0-9]{1,2})\)$', 2) <> '' THEN regexp_extract(w, '^(.+)\(([0-9]{1,2})\)$', 1) || '[^' || p_size || ']' ELSE w END AS marked FROM (SELECT p_partkey, p_size, replace(p_name, ' ', '_') || '(' || p_size || ')' AS w FROM part)")
 def footnote_marks(spark, d):
     word = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("("), F.col("p_size").cast("string"), F.lit(")"))
-    return _t(spark, d, "part").select("p_partkey", "p_size", T.note_mark(word).alias("marked"))
+    return _t(spark, d, "part").select("p_partkey", "p_size", F.get(layout.words(word), F.lit(0))["s"].alias("marked"))
 
 
 @query("SELECT p_partkey, strlen(t) >= 100 AND len(string_split(trim(t), ' ')) >= 6 AS repeats FROM (SELECT p_partkey, repeat(p_brand || ' ', p_size) AS t FROM (SELECT p_partkey, replace(p_brand, ' ', '') AS p_brand, p_size FROM part))")
 def repetitive_text(spark, d):
     text = F.expr("repeat(concat(replace(p_brand, ' ', ''), ' '), p_size)")
-    return _t(spark, d, "part").select("p_partkey", T.is_repetitive(text).alias("repeats"))
+    return _t(spark, d, "part").select("p_partkey", layout.repetitive(text).alias("repeats"))
 
 
 @query(r"SELECT doc_id, regexp_replace(regexp_replace(replace(replace(text, '. ', '.' || repeat(chr(10), 4)), chr(13) || chr(10), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') || chr(10) AS markdown FROM documents")
@@ -285,10 +298,13 @@ def render_words(spark, d):
     return render.blocks(rows, ["doc_id"], "n").select("doc_id", "text")
 
 
-@query("SELECT p_partkey, repeat('#', least(6, greatest(1, p_size))) || ' ' || p_name AS text FROM part")
+@query("SELECT p_partkey, repeat('#', least(6, greatest(1, p_size))) || ' ' || p_name || chr(10) AS text FROM part")
 def block_text(spark, d):
     kind = T.heading_kind(F.col("p_size"))
-    return _t(spark, d, "part").select("p_partkey", F.concat(T.heading_prefix(kind), "p_name").alias("text"))
+    none, style = F.lit(None).cast("string"), F.lit("BOLD").alias("format")
+    words = F.transform(F.split("p_name", " "), lambda w: F.struct(w.alias("s"), none.alias("type"), style))
+    rows = _t(spark, d, "part").select("p_partkey", F.lit(1).alias("block_no"), F.lit(1).alias("n"), kind.alias("block_type"), none.alias("type"), F.lit(0).alias("list_level"), F.lit(False).alias("is_table_row"), F.lit(False).alias("is_table_header"), F.lit(None).cast("array<string>").alias("table_columns"), words.alias("words"))
+    return render.blocks(rows, ["p_partkey"], "n").select("p_partkey", "text")
 
 
 @query("""WITH k AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax)::INT AS seq,
@@ -398,32 +414,42 @@ def xlsx_markdown(spark, d):
 
 
 def _supplier_book(g: pd.DataFrame) -> bytes:
-    cells = [(int(k) + 1, 1 + int(n) % 3, float(b)) for k, n, b in zip(g["s_suppkey"], g["s_nationkey"], g["s_acctbal"]) if b >= 0]
+    cells = [(int(k) + 1, 1 + int(n) % 3, float(b)) for k, n, b in zip(g["s_suppkey"], g["n"], g["s_acctbal"]) if b >= 0]
     gone = [int(k) + 1 for k, b in zip(g["s_suppkey"], g["s_acctbal"]) if b >= 5000]
     last = int(g["s_suppkey"].max()) + 1
     return synth.xlsx([{"name": "S", "cells": cells, "hidden_rows": gone, "tables": [("T", f"A{last + 2}:B{last + 3}")]}])
 
 
 def _supplier_books(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "supplier").withColumn("book", F.lit("suppliers"))
-    return stored(xlsx.decode(_made(rows, "book", _supplier_book)), "supplier-book")
+    rows = _sql(spark, d, "select s_nationkey, cast(row_number() over (partition by s_nationkey order by s_suppkey) as int) as n, s_suppkey, s_acctbal from {supplier}")
+    return stored(xlsx.decode(_made(rows, "s_nationkey", _supplier_book)), "supplier-books")
 
 
-_SUPPLIERS = "WITH s AS (SELECT s_suppkey + 1 AS r, 1 + s_nationkey % 3 AS c FROM supplier WHERE s_acctbal >= 0), i AS (SELECT r, c, r - row_number() OVER (ORDER BY r) AS k FROM s)"
+_SUPPLIERS = "WITH a AS (SELECT s_nationkey::VARCHAR AS doc_id, s_suppkey, s_acctbal, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier), s AS (SELECT doc_id, s_suppkey + 1 AS r, 1 + n % 3 AS c FROM a WHERE s_acctbal >= 0), i AS (SELECT doc_id, r, c, r - row_number() OVER (PARTITION BY doc_id ORDER BY r) AS k FROM s)"
 
 
-@query(_SUPPLIERS + " SELECT 'range' AS kind, '' AS name, min(r)::INT AS r0, min(c)::INT AS c0, max(r)::INT AS r1, max(c)::INT AS c1 FROM i GROUP BY k UNION ALL SELECT 'table', 'T', max(s_suppkey)::INT + 3, 1, max(s_suppkey)::INT + 4, 2 FROM supplier")
+@query(_SUPPLIERS + " SELECT doc_id, 'range' AS kind, '' AS name, min(r)::INT AS r0, min(c)::INT AS c0, max(r)::INT AS r1, max(c)::INT AS c1 FROM i GROUP BY doc_id, k UNION ALL SELECT doc_id, 'table', 'T', max(s_suppkey)::INT + 3, 1, max(s_suppkey)::INT + 4, 2 FROM a GROUP BY doc_id")
 def xlsx_range_blocks(spark, d):
-    books = _supplier_books(spark, d)
-    found = sheets.with_merges(sheets.cells(books), sheets.merges(books))
-    return sheets.blocks(found, sheets.merges(books), sheets.tables(books)).select("kind", "name", "r0", "c0", "r1", "c1")
-
-
-@query("SELECT s_suppkey::INT + 1 AS row FROM supplier WHERE s_acctbal >= 0 AND s_acctbal < 5000")
+    return sheets.blocks(sheets.grid(_supplier_books(spark, d))).select("doc_id", "kind", "name", "r0", "c0", "r1", "c1")
+
+
+@query(_SUPPLIERS + """, v AS (SELECT a.doc_id, s_suppkey + 1 AS r, 1 + n % 3 AS c, s_acctbal FROM a WHERE s_acctbal >= 0), b AS (
+  SELECT doc_id, min(r) AS r0, min(c) AS c0, max(r) AS r1, max(c) AS c1 FROM i GROUP BY doc_id, k
+), t AS (
+  SELECT b.doc_id, b.r0, b.c0, '### Range: S!' || chr((64 + c0)::INT) || r0 || CASE WHEN r0 = r1 AND c0 = c1 THEN '' ELSE ':' || chr((64 + c1)::INT) || r1 END || chr(10) || coalesce('| Row | ' || array_to_string(list_transform(range(c0, c1 + 1), lambda x: chr((64 + x)::INT)), ' | ') || ' |' || chr(10)
+    || '| --- |' || repeat(' --- |', (c1 - c0 + 1)::INT) || chr(10), '') AS head, b.c1
+  FROM b
+), l AS (
+  SELECT v.doc_id, b.r0, string_agg('| ' || v.r || ' |' || repeat('  |', (v.c - b.c0)::INT) || ' ' || CASE WHEN s_acctbal = trunc(s_acctbal) THEN s_acctbal::BIGINT::VARCHAR ELSE s_acctbal::VARCHAR END || ' |' || repeat('  |', (b.c1 - v.c)::INT) || chr(10), '' ORDER BY v.r) AS body
+  FROM v JOIN b ON b.doc_id = v.doc_id AND v.r BETWEEN b.r0 AND b.r1 WHERE s_acctbal < 5000 GROUP BY v.doc_id, b.r0
+), k AS (
+  SELECT t.doc_id, t.r0, CASE WHEN body IS NULL THEN split_part(head, chr(10), 1) || chr(10) ELSE head || body END AS text FROM t LEFT JOIN l ON l.doc_id = t.doc_id AND l.r0 = t.r0
+  UNION ALL SELECT doc_id, max(s_suppkey) + 3, '### Table: S!A' || max(s_suppkey) + 3 || ':B' || max(s_suppkey) + 4 || ' (T)' || chr(10) FROM a GROUP BY doc_id
+) SELECT doc_id, '## S' || chr(10) || chr(10) || CASE WHEN doc_id IN (SELECT doc_id FROM s) THEN string_agg(text, chr(10) ORDER BY r0) ELSE '' END AS markdown FROM k GROUP BY doc_id""")
 def xlsx_hidden_filter(spark, d):
-    books = _supplier_books(spark, d)
-    gone = sheets.hidden(books).where("axis = 'row'").select("doc_id", "sheet_no", F.col("idx").alias("row"))
-    return sheets.cells(books).join(gone, ["doc_id", "sheet_no", "row"], "left_anti").select("row")
+    from docloom.options import SheetOptions
+
+    return sheets.markdown(_supplier_books(spark, d), SheetOptions(hidden=False))
 
 
 def _line_book(g: pd.DataFrame) -> bytes:
@@ -454,7 +480,7 @@ UNION ALL SELECT r_name, r::INT, 2, n_name FROM k""")
 def xlsx_merged_cells(spark, d):
     rows = _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     books = stored(xlsx.decode(_made(rows, "r_name", _merge_book)), "merge-books")
-    return sheets.with_merges(sheets.cells(books), sheets.merges(books)).select("doc_id", "row", "col", sheets.display().alias("shown"))
+    return sheets.shown(sheets.grid(books)).select("doc_id", "row", "col", "shown")
 
 
 # --- round trips: text documents ---------------------------------------------
@@ -534,37 +560,37 @@ def docx_runs_merge(spark, d):
 
 
 def _print(r: dict) -> bytes:
-    lines = [x.encode("ascii", "ignore").decode() for x in (r["text"] or "").split("\n")]
+    lines = (r["text"] or "").split("\n")
     pages = [lines[i : i + 40] for i in range(0, len(lines), 40)]
-    return synth.pdf([[(72, 60 + 14 * k, x, 12, "F1") for k, x in enumerate(p) if x.strip()] for p in pages], {0: (600, 700, b"\0" * 30)} if r["doc_id"] % 2 == 0 else {})
+    return synth.pdf([[(72, 60 + 14 * k, x, 12, "F1") for k, x in enumerate(p) if x.strip()] for p in pages], {0: (600, 700, b"\0" * 30)} if r["doc_id"] % 2 == 0 else {}, unicode=True)
 
 
-def _prints(spark: SparkSession, d: str) -> DataFrame:
-    return stored(pdf.decode(_each(_t(spark, d, "documents").select("doc_id", "text"), _print)), "prints")
+def _prints(spark: SparkSession, d: str, images: bool = True) -> DataFrame:
+    return pdf.decode(_each(_t(spark, d, "documents").select("doc_id", "text"), _print), images)
 
 
 @query("SELECT doc_id::VARCHAR AS doc_id, ceil(len(string_split(text, chr(10))) / 40)::INT AS n_pages FROM documents")
 def pdf_pages(spark, d):
-    return _prints(spark, d).select("doc_id", "n_pages")
+    return _prints(spark, d, False).select("doc_id", "n_pages")
 
 
 @query(r"""WITH l AS (SELECT doc_id::VARCHAR AS doc_id, unnest(range(len(s))) AS n, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
-a AS (SELECT doc_id, n, regexp_replace(line, '[^\x00-\x7F]', '', 'g') AS line FROM l)
+a AS (SELECT doc_id, n, line FROM l)
 SELECT doc_id, (n // 40)::INT AS page_idx, (60 + 14 * (n % 40))::DOUBLE AS y, line AS text FROM a WHERE regexp_replace(line, '^\s+|\s+$', '', 'g') <> ''""")
 def pdf_text_items(spark, d):
-    return pdf_plan.items_of(_prints(spark, d)).select("doc_id", "page_idx", "y", "text")
+    return pdf_plan.items_of(_prints(spark, d, False)).select("doc_id", "page_idx", "y", "text")
 
 
 @query(r"""WITH p AS (SELECT doc_id, unnest(range(len(s))) AS n, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
-o AS (SELECT doc_id, sum(strlen(trim(regexp_replace(line, '[^\x00-\x7F]', '', 'g')))) AS octets FROM p WHERE n < 40 GROUP BY doc_id) SELECT doc_id::VARCHAR AS doc_id FROM o WHERE octets < 100 AND doc_id % 2 = 0""")
+o AS (SELECT doc_id, sum(strlen(trim(line))) AS octets FROM p WHERE n < 40 GROUP BY doc_id) SELECT doc_id::VARCHAR AS doc_id FROM o WHERE octets < 100 AND doc_id % 2 = 0""")
 def pdf_scanned_pages(spark, d):
-    docs = _prints(spark, d)
+    docs = stored(_prints(spark, d), "prints")
     return images.is_scan(pdf_plan.pages_of(docs), pdf_plan.items_of(docs), pdf_plan.images_of(docs)).where("is_scanned").select("doc_id")
 
 
 @query()
 def pdf_markdown(spark, d):
-    return pdf_plan.markdown(_prints(spark, d))
+    return pdf_plan.markdown(stored(_prints(spark, d), "prints"))
 
 
 @query("SELECT 'converted' AS status, (SELECT count(*) FROM region) + (SELECT count(*) FROM benchmark) AS files UNION ALL SELECT 'failed', count(*) FROM nation UNION ALL SELECT 'unsupported', count(*) FROM supplier")
@@ -578,3 +604,6 @@ def conversion_log(spark, d):
     other = _t(spark, d, "supplier").select(F.col("s_name").alias("doc_id"), F.encode(F.lit("x"), "UTF-8").alias("content"), F.lit(".txt").alias("ext"))
     found = books.unionByName(prints).unionByName(broken).unionByName(other)
     return convert_files(found.withColumn("length", F.length("content"))).summary()
+
+
+from docloom.plans import page_queries  # noqa: E402, F401  (adds its queries to these)

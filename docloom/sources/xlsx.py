@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from docloom.sources.ooxml import Package, PackageError, resolve
 
 SCHEMA = (
-    "doc_id string, error string, sheets array<struct<sheet_no:int,sheet_name:string>>, "
+    "doc_id string, error string, sheets array<struct<sheet_no:int,sheet_name:string,rows:int,cols:int,reach:int>>, "
     "cells array<struct<sheet_no:int,row:int,col:int,kind:string,raw:string,style:int,formula:string,inline:string>>, "
     "strings array<string>, styles array<int>, formats map<int,string>, "
     "merges array<struct<sheet_no:int,r0:int,c0:int,r1:int,c1:int>>, "
@@ -94,8 +94,12 @@ def parse(data: bytes) -> dict[str, Any]:
         if root is None:
             continue
         n = len(out["sheets"])
+        cells, tables = len(out["cells"]), len(out["tables"])
         out["sheets"].append({"sheet_no": n, "sheet_name": sheet.get("name", "")})
         _sheet(package, part, root, n, out)
+        edge = [max((c[x] for c in out["cells"][cells:]), default=0) for x in ("row", "col")]
+        # what ends beyond the last row of cells and tables ends there
+        out["sheets"][-1] |= {"rows": edge[0], "cols": edge[1], "reach": max(edge[0], *(t["r1"] for t in out["tables"][tables:]), 0)}
     return out
 
 

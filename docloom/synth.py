@@ -5,13 +5,18 @@ Output is deterministic: the same input gives the same bytes.
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import io
+import struct
 import zipfile
 import zlib
 from collections.abc import Iterable, Sequence
 from typing import Any
 from xml.sax.saxutils import escape, quoteattr
 
+from docloom.sources.pdf import crypto, filters
+
 _REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _PKG = "http://schemas.openxmlformats.org/package/2006/relationships"
 _HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
@@ -182,31 +187,70 @@ def _literal(text: str) -> bytes:
     return b"(" + raw.replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)") + b")"
 
 
-def pdf(pages: Sequence[Sequence[tuple[float, float, str, float, str]]], images: dict[int, tuple[int, int, bytes]] | None = None, compress: bool = True) -> bytes:
+def _coded(data: bytes, coding: str) -> tuple[bytes, bytes]:
+    """``data`` under a filter, and what the stream's dictionary says of it."""
+    if coding == "flate":
+        return zlib.compress(data), b" /Filter /FlateDecode"
+    if coding == "lzw":
+        return filters.lzw_encode(data), b" /Filter /LZWDecode"
+    if coding == "ascii85":
+        return base64.a85encode(zlib.compress(data)) + b"~>", b" /Filter [/ASCII85Decode /FlateDecode]"
+    if coding == "hex":
+        return data.hex().encode() + b">", b" /Filter /ASCIIHexDecode"
+    if coding == "predictor":
+        data += b" " * (-len(data) % 16)
+        rows = [bytes(16), *(data[i : i + 16] for i in range(0, len(data), 16))]
+        up = b"".join(b"\2" + bytes((x - y) & 255 for x, y in zip(b, a)) for a, b in zip(rows, rows[1:]))
+        return zlib.compress(up), b" /Filter /FlateDecode /DecodeParms << /Predictor 12 /Columns 16 >>"
+    return data, b""
+
+
+def _to_unicode(codes: dict[str, int]) -> bytes:
+    said = b"\n".join(b"<%04x> <%s>" % (n, c.encode("utf-16-be").hex().encode()) for c, n in codes.items())
+    return b"/CIDInit /ProcSet findresource begin begincmap\n1 begincodespacerange <0000> <ffff> endcodespacerange\n%d beginbfchar\n%s\nendbfchar\nendcmap end" % (len(codes), said)
+
+
+def pdf(
+    pages: Sequence[Sequence[tuple[float, float, str, float, str]]], images: dict[int, tuple[int, int, bytes]] | None = None, compress: bool = True, coding: str = "",
+    unicode: bool = False, arrays: bool = False, bundled: bool = False, locked: bool = False,
+) -> bytes:
     """A PDF of pages of (x, y, text, size, font): y from the top, font F1 (regular) or F2 (bold).
 
     ``images`` maps a page's index to the (width, height, RGB bytes) of one image on it.
+    ``coding`` names the filter of all streams; ``unicode`` writes two-byte codes
+    with a map to Unicode, ``arrays`` texts in kerned halves, ``bundled`` an
+    object stream and a cross-reference stream, ``locked`` RC4 under the empty password.
     """
     images = images or {}
-    objects: list[bytes] = []
+    coding = coding or ("flate" if compress else "")
+    objects: list[bytes | tuple[bytes, bytes]] = []
+    codes: dict[str, int] = {}
 
-    def add(body: bytes) -> int:
+    def add(body: bytes | tuple[bytes, bytes]) -> int:
         objects.append(body)
         return len(objects)
 
-    def stream(entries: bytes, data: bytes) -> bytes:
-        if compress:
-            data = zlib.compress(data)
-            entries += b" /Filter /FlateDecode"
-        return b"<< %s /Length %d >>\nstream\n%s\nendstream" % (entries, len(data), data)
+    def stream(entries: bytes, data: bytes) -> tuple[bytes, bytes]:
+        data, said = _coded(data, coding)
+        return entries + said, data
+
+    def shown(text: str) -> bytes:
+        if not unicode:
+            return _literal(text)
+        return b"<" + b"".join(b"%04x" % codes.setdefault(c, len(codes) + 1) for c in text) + b">"
+
+    def told(text: str) -> bytes:
+        half = len(text) // 2
+        return b"[%s -20 %s] TJ" % (shown(text[:half]), shown(text[half:])) if arrays else shown(text) + b" Tj"
 
     catalog, tree = add(b""), add(b"")
-    fonts = [add(b"<< /Type /Font /Subtype /Type1 /BaseFont /%s /Encoding /WinAnsiEncoding /FirstChar 32 /LastChar 126 /Widths [%s] >>" % (name, b" ".join([b"500"] * 95))) for name in (b"Helvetica", b"Helvetica-Bold")]
+    names = (b"Helvetica", b"Helvetica-Bold")
+    fonts = [add(b"<< /Type /Font /Subtype /Type1 /BaseFont /%s /Encoding /WinAnsiEncoding /FirstChar 32 /LastChar 126 /Widths [%s] >>" % (name, b" ".join([b"500"] * 95))) for name in names]
     kids = []
     for n, items in enumerate(pages):
         ops = [b"BT"]
         for x, y, text, size, font in items:
-            ops.append(b"/%s %g Tf 1 0 0 1 %g %g Tm %s Tj" % (font.encode(), size, x, 792 - y, _literal(text)))
+            ops.append(b"/%s %g Tf 1 0 0 1 %g %g Tm %s" % (font.encode(), size, x, 792 - y, told(text)))
         ops.append(b"ET")
         resources = b"/Font << /F1 %d 0 R /F2 %d 0 R >>" % tuple(fonts)
         if n in images:
@@ -218,12 +262,50 @@ def pdf(pages: Sequence[Sequence[tuple[float, float, str, float, str]]], images:
         kids.append(add(b"<< /Type /Page /Parent %d 0 R /MediaBox [0 0 612 792] /Resources << %s >> /Contents %d 0 R >>" % (tree, resources, content)))
     objects[catalog - 1] = b"<< /Type /Catalog /Pages %d 0 R >>" % tree
     objects[tree - 1] = b"<< /Type /Pages /Count %d /Kids [%s] >>" % (len(kids), b" ".join(b"%d 0 R" % k for k in kids))
-    out = bytearray(b"%PDF-1.4\n")
-    at = []
-    for i, body in enumerate(objects, 1):
-        at.append(len(out))
-        out += b"%d 0 obj\n%s\nendobj\n" % (i, body)
+    if unicode:
+        below = add(b"<< /Type /Font /Subtype /CIDFontType2 /BaseFont /Helvetica /CIDSystemInfo << /Registry (Adobe) /Ordering (Identity) /Supplement 0 >> /DW 500 >>")
+        table = add(stream(b"", _to_unicode(codes)))
+        for at, name in zip(fonts, names):
+            objects[at - 1] = b"<< /Type /Font /Subtype /Type0 /BaseFont /%s /Encoding /Identity-H /DescendantFonts [%d 0 R] /ToUnicode %d 0 R >>" % (name, below, table)
+    trailer, seal = b"", None
+    if locked:
+        owner = bytes(32)
+        key = hashlib.md5(crypto.PAD + owner + (-4 & 0xFFFFFFFF).to_bytes(4, "little") + b"\0").digest()[:5]
+        hexed = lambda b: b"<" + b.hex().encode() + b">"
+        trailer = b" /ID [<00> <00>] /Encrypt << /Filter /Standard /V 1 /R 2 /Length 40 /P -4 /O %s /U %s >>" % (hexed(owner), hexed(crypto.rc4(key, crypto.PAD)))
+        seal = lambda data, n: crypto.rc4(hashlib.md5(key + n.to_bytes(3, "little") + b"\0\0").digest()[:10], data)
+    out = bytearray(b"%PDF-1.5\n")
+    at: dict[int, int] = {}
+    plain = {n: body for n, body in enumerate(objects, 1) if isinstance(body, bytes)}
+
+    def put(n: int, body: bytes | tuple[bytes, bytes]) -> None:
+        nonlocal out
+        if not isinstance(body, bytes):
+            entries, data = body
+            data = seal(data, n) if seal else data
+            body = b"<< %s /Length %d >>\nstream\n%s\nendstream" % (entries, len(data), data)
+        at[n] = len(out)
+        out += b"%d 0 obj\n%s\nendobj\n" % (n, body)
+
+    for n, body in enumerate(objects, 1):
+        if not (bundled and n in plain):
+            put(n, body)
+    size = len(objects) + 1
+    if bundled:
+        starts, packed = [], b""
+        for n, body in plain.items():
+            starts.append(b"%d %d" % (n, len(packed)))
+            packed += body + b" "
+        head = b" ".join(starts) + b" "
+        put(size, stream(b"/Type /ObjStm /N %d /First %d" % (len(plain), len(head)), head + packed))
+        index = {n: i for i, n in enumerate(plain)}
+        rows = [(0, 0, 65535), *((2, size, index[n]) if n in plain else (1, at[n], 0) for n in range(1, size)), (1, at[size], 0), (1, len(out), 0)]
+        entries = b"".join(struct.pack(">BIH", *r) for r in rows)
+        table = len(out)
+        put(size + 1, stream(b"/Type /XRef /Size %d /W [1 4 2] /Root %d 0 R%s" % (size + 2, catalog, trailer), entries))
+        out += b"startxref\n%d\n%%%%EOF\n" % table
+        return bytes(out)
     table = len(out)
-    out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % a for a in at)
-    out += b"trailer\n<< /Size %d /Root %d 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, catalog, table)
+    out += b"xref\n0 %d\n0000000000 65535 f \n" % size + b"".join(b"%010d 00000 n \n" % at[n] for n in range(1, size))
+    out += b"trailer\n<< /Size %d /Root %d 0 R%s >>\nstartxref\n%d\n%%%%EOF\n" % (size, catalog, trailer, table)
     return bytes(out)

@@ -67,11 +67,18 @@ def test_workbook_markdown(spark):
 def test_blocks_of_a_sheet(spark):
     book = synth.xlsx([{"name": "S", "cells": [(1, 1, "a"), (2, 2, "b"), (5, 3, "c"), (9, 1, "t"), (9, 7, "beside")], "tables": [("T", "A9:B10")], "merges": ["C5:E5"]}])
     books = xlsx.decode(rows(spark, a=book))
-    found = sheets.with_merges(sheets.cells(books), sheets.merges(books))
-    got = {(r.kind, r.r0, r.c0, r.r1, r.c1) for r in sheets.blocks(found, sheets.merges(books), sheets.tables(books)).collect()}
+    got = {(r.kind, r.r0, r.c0, r.r1, r.c1) for r in sheets.blocks(sheets.grid(books)).collect()}
     assert got == {("range", 1, 1, 2, 2), ("range", 5, 3, 5, 5), ("table", 9, 1, 10, 2)}
 
 
+def test_a_claim_of_a_whole_sheet_costs_its_own_rows(spark):
+    book = synth.xlsx([{"name": "S", "cells": [(1, 1, "a"), (1, 2, "b"), (3, 1, "c")], "merges": ["A1:XFD1048576"], "hidden_cols": [2]}])
+    books = xlsx.decode(rows(spark, a=book))
+    assert sheets.grid(books).where("row > 0").count() == 3
+    text = sheets.markdown(books, SheetOptions(hidden=False)).first().markdown
+    assert text.startswith("## S\n\n### Range: S!A1:XFD1\n") and "\n### Range: S!A3:XFD3\n" in text
+
+
 @pytest.mark.parametrize(("raw", "fmt", "code", "shown"), [
     ("0.25", 10, "", "25%"), ("0.255", 165, "0.0%", "25.5%"), ("12.5", 7, "", "$12"), ("1234.5", 170, "€#,##0.00", "€1234.50"), ("45000", 14, "", "2023-03-15"),
     ("45000.5", 22, "", "2023-03-15 12:00:00"), ("45000", 171, "hh:mm", "2023-03-15 00:00:00"), ("1E21", 0, "", "1000000000000000000000"), ("0.1", 49, "", "0.1"),
@@ -107,8 +114,8 @@ def test_text_functions(spark):
     assert one(spark, T.compact(lit("\r\n a\n\n\n\nb \n"))) == "a\n\nb\n"
     assert one(spark, T.line_hash(lit("A1 B C"))) == one(spark, T.line_hash(lit("ABC"))) != one(spark, T.line_hash(lit("ABCÂ")))
     assert one(spark, T.line_hash(lit("ABC"))) == 64578 and one(spark, T.line_hash(lit("1 2"))) == 0
-    assert one(spark, T.note_mark(lit("word(3)"))) == "word[^3]" and one(spark, T.note_mark(lit("printf(3)"))) == "printf(3)" and one(spark, T.note_mark(lit("a(123)"))) == "a(123)"
-    assert one(spark, T.is_repetitive(lit("spam and eggs " * 10))) and not one(spark, T.is_repetitive(lit("short short short")))
+    assert [w.s for w in one(spark, layout.words(lit("word(3) printf(3) a(123)")))] == ["word[^3]", "printf(3)", "a(123)"]
+    assert one(spark, layout.repetitive(lit("spam and eggs " * 10))) and not one(spark, layout.repetitive(lit("short short short")))
     assert [one(spark, T.list_level(lit(x), lit(10.0))) for x in (5.0, 29.9, 30.0, 500.0)] == [0, 0, 1, 6]
     assert one(spark, T.is_table(lit("| a |\n| b |"))) and not one(spark, T.is_table(lit("| a |\nb")))
     assert one(spark, T.header_key(lit("| A | b  ||"))) == "a|b"
