@@ -25,6 +25,14 @@ def tallest(items: DataFrame) -> DataFrame:
     return items.groupBy("doc_id").agg(F.max(h).alias("max_h"), F.min_by("font", F.struct(-h, "page_idx", "seq")).alias("max_font"))
 
 
+def usual(items: DataFrame) -> DataFrame:
+    """(doc_id, mode_h, mode_font, max_h, max_font): all of the above by one pass."""
+    h = F.col("height").cast("int")
+    return items.withColumn("hh", h).groupBy("doc_id").agg(
+        F.expr(_MODE.format("nullif(hh, 0)")).alias("mode_h"), F.expr(_MODE.format("font")).alias("mode_font"), F.max(h).alias("max_h"), F.min_by("font", F.struct(-h, "page_idx", "seq")).alias("max_font")
+    )
+
+
 def line_distance(items: DataFrame, modes: DataFrame | None = None) -> DataFrame:
     """(doc_id, distance): the most frequent positive step from an item of usual height to the next, 12 by default."""
     modes = modal_height(items) if modes is None else modes
@@ -51,6 +59,6 @@ def font_styles(fonts: DataFrame, stats: DataFrame) -> DataFrame:
 
 def document_stats(items: DataFrame, fonts: DataFrame) -> DataFrame:
     """One row per document: mode_h, mode_font, max_h, max_font, distance, styles."""
-    height = modal_height(items)
-    found = height.join(modal_font(items), "doc_id").join(tallest(items), "doc_id").join(line_distance(items, height), "doc_id")
+    found = usual(items)
+    found = found.join(line_distance(items, found.select("doc_id", "mode_h")), "doc_id")
     return found.join(font_styles(fonts, found), "doc_id", "left")

@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from docloom import synth
 from docloom.functions import cells as C
-from docloom.operators import blocks, images, layout, lists, paragraphs, render, stats
+from docloom.functions import text as T
+from docloom.operators import blocks, elements, images, layout, lists, paragraphs, render, stats
 from docloom.plans import docx as docx_plan
 from docloom.plans import pdf as pdf_plan
 from docloom.plans.queries import _I, _L, _LISTED, _MODES, _each, _items, _made, _sql, _t, query
-from docloom.sources import docx, pdf
+from docloom.sources import docx, files, pdf
+from docloom.options import Options
 from docloom.storage import stored
 
 # --- layout ------------------------------------------------------------------
@@ -172,6 +174,47 @@ def clean_cells(spark, d):
     return _t(spark, d, "pages").select("page_id", C.clean_cell(F.concat(F.lit("  "), "html", F.lit("| a\rb "))).alias("cell"))
 
 
+@query("SELECT p_partkey, substr('-•–—◦○●▪■□▸►▹▻★☆·∙⁃*ax1', 1 + p_partkey % 23, 1 + p_size % 2) AS sign, p_size % 2 = 0 AND p_partkey % 23 < 19 AS is_bullet FROM part")
+def bullet_characters(spark, d):
+    sign = F.expr("substr('-•–—◦○●▪■□▸►▹▻★☆·∙⁃*ax1', int(1 + p_partkey % 23), int(1 + p_size % 2))")
+    return _t(spark, d, "part").select("p_partkey", sign.alias("sign"), T.is_bullet(sign).alias("is_bullet"))
+
+
+@query(_NSQL + """ SELECT n_regionkey, '| Key | Nation |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |' || chr(10), '' ORDER BY r) AS text FROM n WHERE n_nationkey % 7 <> 3 GROUP BY n_regionkey""")
+def render_tables(spark, d):
+    """Rows without any text are left out of a table."""
+    rows = _sql(spark, d, f"select n_regionkey, 1 as block_no, r + 1 as n, if(n_nationkey % 7 = 3, array('', '  '), array(cast(n_nationkey as string), concat(' ', n_name))) as table_columns, false as is_table_header from ({_N})")
+    rows = rows.unionByName(_sql(spark, d, "select r_regionkey as n_regionkey, 1 as block_no, 0 as n, array('Key', 'Nation ') as table_columns, true as is_table_header from {region}"))
+    none = F.lit(None).cast("string")
+    rows = rows.withColumns({"block_type": none, "type": none, "list_level": F.lit(0), "is_table_row": F.lit(True), "words": F.array().cast("array<struct<s:string,type:string,format:string>>")})
+    return render.blocks(rows, ["n_regionkey"], "n").select("n_regionkey", "text")
+
+
+@query("""WITH l AS (SELECT p_brand AS doc_id, p_size % 4 AS page_idx, p_partkey, p_size FROM part)
+SELECT doc_id, array_to_string(list(p_size ORDER BY page_idx, p_partkey) FILTER (p_size % 3 = 0), ',') AS notes, bool_or(p_size % 5 = 0) AS has_links, (2 * count(*) FILTER (p_size % 2 = 0))::BIGINT AS formatted_words FROM l GROUP BY doc_id""")
+def parsed_elements(spark, d):
+    word = lambda s, kind, fmt: F.struct(s.alias("s"), kind.cast("string").alias("type"), fmt.cast("string").alias("format"))
+    size, none = F.col("p_size"), F.lit(None)
+    bold = F.when(size % 2 == 0, F.lit("BOLD"))
+    words = F.array(word(F.lit("said"), none, bold), word(size.cast("string"), F.when(size % 3 == 0, "FOOTNOTE_LINK"), none), word(F.lit("http://x"), F.when(size % 5 == 0, "LINK"), bold))
+    lines = _t(spark, d, "part").select(F.col("p_brand").alias("doc_id"), (size % 4).alias("page_idx"), F.col("p_partkey").alias("line_no"), words.alias("words"))
+    return elements.merged(elements.of_pages(lines)).select("doc_id", F.array_join("note_links", ",").alias("notes"), "has_links", "formatted_words")
+
+
+_SINK = "SELECT c_custkey, c_mktsegment || '.pdf' AS name, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey || '/' || c_mktsegment || '.pdf') - 1 AS n FROM customer"
+
+
+@query(f"""WITH c AS ({_SINK}), s AS (SELECT 'skip' AS mode, c_custkey, name, n AS k, CASE WHEN n IN (0, 2) THEN 'skipped' ELSE 'new' END AS status FROM c
+UNION ALL SELECT 'number', c_custkey, name, CASE WHEN n = 0 THEN 1 ELSE n + 2 END, 'new' FROM c)
+SELECT mode, c_custkey, 'out/' || name || CASE WHEN k = 0 THEN '' ELSE '-' || k END || '.md' AS output_path, status FROM s""")
+def sink_targets(spark, d):
+    """Plain names and those with -2 are there already: skipped by default, passed over otherwise."""
+    rows = _t(spark, d, "customer").select("c_custkey", F.concat(F.col("c_custkey").cast("string"), F.lit("/"), "c_mktsegment", F.lit(".pdf")).alias("doc_id"))
+    there = _t(spark, d, "customer").select(F.explode(F.array(F.concat(F.lit("out/"), "c_mktsegment", F.lit(".pdf.md")), F.concat(F.lit("out/"), "c_mktsegment", F.lit(".pdf-2.md")))).alias("path")).distinct()
+    both = [files.targets(rows, there, Options(output_directory="out", skip_existing=skip)).withColumn("mode", F.lit(mode)) for mode, skip in (("skip", True), ("number", False))]
+    return both[0].unionByName(both[1]).select("mode", "c_custkey", "output_path", "status")
+
+
 # --- images ------------------------------------------------------------------
 
 _PICTURES = "select cast(s_nationkey as string) as doc_id, s_suppkey, cast(row_number() over (partition by s_nationkey order by s_suppkey) as int) as ord, case s_suppkey % 4 when 0 then 'jpeg' when 1 then 'png' when 2 then 'gif' else 'odd' end as format, case when s_suppkey % 3 = 0 then s_name else '' end as alt from {supplier}"

@@ -113,7 +113,7 @@ p1 AS (
 @query(_TITLE + " SELECT doc_id, seq, t1 AS type FROM p1 WHERE t1 IS NOT NULL")
 def title_page_headings(spark, d):
     items = _items(spark, d)
-    known = items.join(stats.modal_height(items), "doc_id").join(stats.tallest(items), "doc_id").withColumnRenamed("height", "h")
+    known = items.join(stats.usual(items), "doc_id").withColumnRenamed("height", "h")
     return headings.title_lines(known).where("type is not null").select("doc_id", "seq", "type")
 
 
@@ -125,7 +125,8 @@ SELECT doc_id, seq, CASE WHEN t2 IS NULL AND h = mode_h AND font <> mode_font AN
   THEN 'H' || (deepest + 1) ELSE t2 END AS type FROM p5""")
 def heading_types(spark, d):
     items = _items(spark, d)
-    known = stats.modal_height(items).join(stats.modal_font(items), "doc_id").join(stats.tallest(items), "doc_id").join(stats.line_distance(items), "doc_id")
+    known = stats.usual(items)
+    known = known.join(stats.line_distance(items, known.select("doc_id", "mode_h")), "doc_id")
     return headings.detect(items.withColumnRenamed("height", "h").withColumn("line_no", F.col("seq")), known).select("doc_id", "seq", "type")
 
 
