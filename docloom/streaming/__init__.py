@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from docloom.api import convert_files
 from docloom.options import Options
 from docloom.sources import files
+from docloom.storage import released
 
 SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -23,16 +24,17 @@ def arriving(spark: SparkSession, folder: str, options: Options | None = None, f
 
 
 def convert_stream(spark: SparkSession, folder: str, output: str, checkpoint: str, options: Options | None = None, once: bool = True) -> StreamingQuery:
-    """Writes Markdown and log of every new file as Parquet under ``output``.
+    """Writes Markdown, images and log of every new file as Parquet under ``output``.
 
     The checkpoint remembers which files were read, so nothing is converted
     twice; a batch that is repeated overwrites its own folder.
     """
 
     def save(batch: DataFrame, number: int) -> None:
-        done = convert_files(batch, options)
-        done.markdown.write.mode("overwrite").parquet(f"{output}/markdown/batch={number}")
-        done.log.write.mode("overwrite").parquet(f"{output}/log/batch={number}")
+        with released(spark):
+            done = convert_files(batch, options)
+            for name, table in (("markdown", done.markdown), ("images", done.images), ("log", done.log)):
+                table.write.mode("overwrite").parquet(f"{output}/{name}/batch={number}")
 
     writer = arriving(spark, folder, options).writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="30 seconds")).start()

@@ -24,7 +24,7 @@ from docloom.plans import pdf as pdf_plan
 from docloom.sources import docx, files, pdf, xlsx
 from docloom.sources.pdf import crypto, filters, fonts
 from docloom.sources.pdf.objects import Document, Lexer, Ref
-from docloom.storage import stored
+from docloom.storage import released, stored
 from docloom.streaming import convert_stream
 
 
@@ -472,7 +472,13 @@ def test_stream_converts_each_file_once(spark, tmp_path):
         convert_stream(spark, folder, out, str(tmp_path / "check"), Options(recursive=True)).awaitTermination()
     log = spark.read.parquet(out + "/log")
     assert log.count() == 3 and {r.status for r in log.collect()} == {"converted", "failed"}
-    assert spark.read.parquet(out + "/markdown").count() == 2
+    assert spark.read.parquet(out + "/markdown").count() == 2 and spark.read.parquet(out + "/images").count() == 0
+    left = lambda: set(os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")))
+    before = left()
+    with released(spark):
+        kept = stored(spark.range(3), "kept")
+        assert kept.count() == 3 and len(left()) == len(before) + 1
+    assert left() == before
 
 
 def test_rest_works_without_the_training_data_operators(tmp_path):
