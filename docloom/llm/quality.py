@@ -83,8 +83,7 @@ def features(texts: pa.Array) -> np.ndarray:
         ls, le, ldoc = tk.runs(b != 10, off)
         lines = np.maximum(tk.count_by_doc(ldoc, n), 1)
         ts, te, tdoc = tk.runs(~tk.SPACE[b], off)
-        c = np.zeros(len(b) + 1, np.int64)
-        np.cumsum(symbol | (b == 33), out=c[1:])
+        c = tk.running(symbol | (b == 33))
         tokens = np.maximum(tk.count_by_doc(tdoc, n), 1)
         rows.append(np.stack([
             words, tk.sum_mask(up, off) / letters, tk.count_by_doc(udoc, n, ue - us >= 3) / per, tk.sum_mask(symbol, off) / size,

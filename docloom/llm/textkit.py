@@ -114,16 +114,55 @@ def runs(m: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return start, end, doc
 
 
+#: Bytes whose prefix sums are held at a time; a word may reach as much beyond.
+STRETCH = 1 << 20
+
+
 class Hasher:
-    """Hashes of any substrings of ``b`` from one cumulative sum."""
+    """Hashes of any substrings of ``b``, asked for in the order of their starts.
+
+    Bytes are summed up a stretch at a time, so a text of any length costs the
+    memory of one stretch, and a substring longer than that is put together
+    from parts.  A hash depends on the substring's bytes alone.
+    """
 
     def __init__(self, b: np.ndarray, table: np.ndarray = BYTE) -> None:
-        up, self.down = powers(len(b) + 1)
-        self.sum = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(table[b] * up[: len(b)], out=self.sum[1:])
+        self.b, self.table = b, table
+        self.held = self._sums(0, len(b)) if len(b) <= 2 * STRETCH else None
+
+    def _sums(self, a: int, z: int) -> tuple[np.ndarray, np.ndarray]:
+        up, down = powers(z - a + 1)
+        out = np.zeros(z - a + 1, np.uint64)
+        np.cumsum(self.table[self.b[a:z]] * up[: z - a], out=out[1:])
+        return out, down
+
+    def _long(self, a: int, z: int) -> int:
+        total = 0
+        for i in range(a, z, STRETCH):
+            part = int(self._sums(i, min(i + STRETCH, z))[0][-1])
+            total += part * pow(_R, i - a, 1 << 64)
+        return total % (1 << 64)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sum[end] - self.sum[start]) * self.down[start] + (end - start).astype(np.uint64))
+        size = (end - start).astype(np.uint64)
+        if self.held is not None:
+            sums, down = self.held
+            return mix((sums[end] - sums[start]) * down[start] + size)
+        out = np.empty(len(start), np.uint64)
+        cuts = np.searchsorted(start, np.arange(0, len(self.b) + STRETCH, STRETCH))
+        for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])):
+            if i == j:
+                continue
+            at = k * STRETCH
+            fits = end[i:j] - at <= 2 * STRETCH
+            sums, down = self._sums(at, int(end[i:j][fits].max(initial=at)))
+            s, e = start[i:j][fits] - at, end[i:j][fits] - at
+            own = np.empty(j - i, np.uint64)
+            own[fits] = (sums[e] - sums[s]) * down[s]
+            for n in np.flatnonzero(~fits):
+                own[n] = self._long(int(start[i + n]), int(end[i + n]))
+            out[i:j] = own
+        return mix(out + size)
 
 
 def hash_words(words: list[str]) -> np.ndarray:
@@ -141,6 +180,15 @@ def count_by_doc(doc: np.ndarray, n: int, weight: np.ndarray | None = None) -> n
 
 def sum_mask(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Number of True bytes in each document."""
-    c = np.zeros(len(mask) + 1, np.int64)
-    np.cumsum(mask, out=c[1:])
-    return (c[off[1:]] - c[off[:-1]]).astype(float)
+    out = np.zeros(len(off) - 1)
+    full = off[1:] > off[:-1]
+    if full.any():
+        out[full] = np.add.reduceat(mask, off[:-1][full], dtype=np.int64)
+    return out
+
+
+def running(mask: np.ndarray) -> np.ndarray:
+    """How many bytes before each place are True."""
+    out = np.zeros(len(mask) + 1, np.int32)
+    np.cumsum(mask, out=out[1:])
+    return out

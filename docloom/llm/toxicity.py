@@ -99,12 +99,9 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
         inside = _INSIDE[b]
         wide = (tk.WORD[b] | inside) if len(b) else inside
         ws, we, wdoc = tk.runs(wide, off)
-        odd = np.zeros(len(b) + 1, np.int64)
-        np.cumsum(inside, out=odd[1:])
-        alpha = np.zeros(len(b) + 1, np.int64)
-        np.cumsum((b >= 97) & (b <= 122), out=alpha[1:])
+        odd, alpha = tk.running(inside), tk.running((b >= 97) & (b <= 122))
         if len(b):  # digits and symbols at the end are no part of the word
-            solid = np.maximum.accumulate(np.where(wide & ~inside, np.arange(len(b)), -1))
+            solid = np.maximum.accumulate(np.where(wide & ~inside, np.arange(len(b), dtype=np.int32), np.int32(-1)))
             we = np.maximum(solid[we - 1] + 1, ws)
         broken = (odd[we] > odd[ws]) & (alpha[we] - alpha[ws] >= 2) & (odd[we] - odd[ws] <= alpha[we] - alpha[ws])
         bs, be, bdoc = ws[broken], we[broken], wdoc[broken]

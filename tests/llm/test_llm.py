@@ -827,6 +827,35 @@ def test_word_runs_and_hashes(texts):
     assert got == want
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=30), st.integers(1, 12))
+def test_hashes_do_not_depend_on_stretches(sizes, stretch):
+    b = np.random.default_rng(len(sizes)).integers(0, 256, sum(sizes) + len(sizes), dtype=np.uint8)
+    start = np.cumsum([0, *sizes])[:-1] + np.arange(len(sizes))
+    end = start + np.array(sizes, np.int64)
+    start = start.astype(np.int64)
+    whole, old = textkit.Hasher(b).of(start, end), textkit.STRETCH
+    textkit.STRETCH = stretch
+    try:
+        assert textkit.Hasher(b).of(start, end).tolist() == whole.tolist()
+    finally:
+        textkit.STRETCH = old
+    assert [textkit.Hasher(b[x:y]).of(np.array([0]), np.array([y - x]))[0] for x, y in zip(start, end)] == whole.tolist()
+
+
+def test_very_long_texts_in_little_memory():
+    import resource
+
+    words = "some words of a very long text that goes on and on. " * 400_000  # 20 MB, and a word of 6 MB
+    texts = pa.array([words + "x" * 6_000_000, "short text", None], pa.large_string())
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    x, y = quality.features(texts), toxicity.features(texts, toxicity.Lexicon())
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([1, 2, 3]), texts], ["doc_id", "t", "text"])
+    sig = list(neardup._signatures(iter([batch])))
+    assert x[0, 0] == 12 * 400_000 + 1 and len(y) == 3 and sum(b.num_rows for b in sig) == 3
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_600_000  # KB: some 60 bytes a byte of the longest text
+
+
 def test_registry_names():
     assert [re.match(r"op(\d+)_", n)[1] for n in registry.QUERIES] == [str(i) for i in range(1, 11)]
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
