@@ -75,12 +75,13 @@ def parse(data: bytes, images: bool = True) -> dict[str, Any]:
             reader.run(_content(doc, page), doc.dict(page.get("Resources")))
             fonts |= reader.fonts
             items += [{"page_idx": n, "seq": i} | item for i, item in enumerate(reader.items)]
+            error = "; ".join(sorted(reader.problems)) or None
             if images:
                 pictures += _images(doc, page, n)
         except (ValueError, KeyError, IndexError, TypeError, AttributeError, RecursionError, OverflowError) as e:
             error = f"{type(e).__name__}: {e}"
         pages.append({"page_idx": n, "width": float(width), "height": float(height), "error": error})
-    return {"status": "ok", "n_pages": len(pages), "pages": pages, "items": items, "fonts": [{"font_id": k, "base_font": f.base, "encoding": f.encoding} for k, f in fonts.items()], "images": pictures}
+    return {"status": "ok", "error": "; ".join(sorted(doc.problems)) or None, "n_pages": len(pages), "pages": pages, "items": items, "fonts": [{"font_id": k, "base_font": f.base, "encoding": f.encoding} for k, f in fonts.items()], "images": pictures}
 
 
 def _decode(images: bool):

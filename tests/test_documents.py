@@ -333,6 +333,24 @@ def test_content_operators():
     assert (found[0]["x"], found[0]["y"], found[0]["height"]) == (70, 792 - 100, 20) and found[1]["y"] == 792 - 90 and found[2]["height"] == 8
 
 
+def test_what_is_left_out_is_said():
+    def book(forms, levels):
+        body = [b"<< /Type /Catalog /Pages 2 0 R >>"] + [b"<< /Type /Pages /Kids [%d 0 R] /Count 1 >>" % (i + 3) for i in range(levels)]
+        page = len(body) + 1
+        body.append(b"<< /Type /Page /MediaBox [0 0 612 792] /Resources << /XObject << /X %d 0 R >> >> /Contents %d 0 R >>" % (page + 2, page + 1))
+        stream = lambda d, x: b"<< %s /Length %d >>\nstream\n%s\nendstream" % (d, len(x), x)
+        body.append(stream(b"", b"BT (top) Tj ET /X Do"))
+        body += [stream(b"/Subtype /Form /Resources << /XObject << /X %d 0 R >> >>" % (page + 3 + i), b"BT (form) Tj ET /X Do") for i in range(forms)]
+        return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (n, x) for n, x in enumerate(body, 1)) + b"trailer << /Root 1 0 R >>"
+
+    found = pdf.parse(book(5, 1))
+    assert [i["text"] for i in found["items"]] == ["top"] + ["form"] * 5 and found["pages"][0]["error"] is None and found["error"] is None
+    found = pdf.parse(book(30, 1))
+    assert len(found["items"]) == 21 and "forms nested" in found["pages"][0]["error"]
+    found = pdf.parse(book(0, 120))
+    assert found["pages"] == [] and "pages nested" in found["error"]
+
+
 def test_images(spark):
     data = images.to_png(bytes(range(12)), 2, 2)
     assert data[:8] == b"\x89PNG\r\n\x1a\n" and zlib.decompress(data[data.index(b"IDAT") + 4 : -16]) == b"\0" + bytes(range(6)) + b"\0" + bytes(range(6, 12))
