@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any, NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from docloom.functions.text import BULLETS, NOT_NOTES
 from docloom.options import LAYOUT, Layout
@@ -26,8 +29,6 @@ LINES = (
     "words array<struct<s:string,type:string,format:string>>, is_table_row boolean, is_table_header boolean, table_columns array<string>"
 )
 
-COLUMNS = ["doc_id", "page_idx", "line_no", "x", "y", "h", "w", "font", "text", "words", "is_table_row", "is_table_header", "table_columns"]
-
 
 class Item(NamedTuple):
     x: float
@@ -412,9 +413,31 @@ def line_row(group: Group, styles: dict[str, str | None]) -> dict[str, Any] | No
 # --- Spark -------------------------------------------------------------------
 
 
-def _items(pdf: pd.DataFrame) -> list[Item]:
-    columns = [pdf[c].fillna(0.0).astype(float) for c in ("x", "y", "width", "height")]
-    return [Item(*v, t or "", f or "", int(s)) for *v, t, f, s in zip(*columns, pdf["text"], pdf["font"], pdf["seq"])]
+def _item(r: dict[str, Any]) -> Item:
+    return Item(*(float(r.get(c) or 0.0) for c in ("x", "y", "width", "height")), r.get("text") or "", r.get("font") or "", int(r["seq"]))
+
+
+def by_group(rows: DataFrame, keys: Sequence[str], make: Callable[[list[dict[str, Any]]], Iterable[dict[str, Any]]], schema: str) -> DataFrame:
+    """Rows that ``make`` gives for the rows of each group; a batch holds many groups, so a small one costs no call of its own."""
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, Any]] = []
+        key: tuple | None = None
+        for batch in batches:
+            out: list[dict[str, Any]] = []
+            for row in batch.to_pylist():
+                now = tuple(row[k] for k in keys)
+                if now != key and held:
+                    out += make(held)
+                    held = []
+                key = now
+                held.append(row)
+            yield pa.RecordBatch.from_pylist(out, arrow)
+        if held:
+            yield pa.RecordBatch.from_pylist(list(make(held)), arrow)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def lines(items: DataFrame, stats: DataFrame, pages: DataFrame, o: Layout = LAYOUT) -> DataFrame:
@@ -427,41 +450,36 @@ def lines(items: DataFrame, stats: DataFrame, pages: DataFrame, o: Layout = LAYO
     known = stats.select("doc_id", "distance", "styles")
     rows = items.join(known, "doc_id").join(pages.select("doc_id", "page_idx", F.col("height").alias("page_h")), ["doc_id", "page_idx"], "left")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        styles = pdf["styles"].iloc[0]
-        styles = dict(styles) if styles is not None else {}
-        h = pdf["page_h"].iloc[0]
-        footer = h * o.footer_share if h == h and h else o.footer_y
-        for group in page_groups(_items(pdf), float(pdf["distance"].iloc[0]), footer, o):
+    def make(own: list[dict[str, Any]]) -> list[dict[str, Any]]:
+        out: list[dict[str, Any]] = []
+        first = own[0]
+        styles = dict(first["styles"] or ())
+        footer = first["page_h"] * o.footer_share if first["page_h"] else o.footer_y
+        for group in page_groups([_item(r) for r in own], float(first["distance"]), footer, o):
             row = line_row(group, styles)
             if row:
-                out.append({"doc_id": pdf["doc_id"].iloc[0], "page_idx": int(pdf["page_idx"].iloc[0]), "line_no": len(out)} | row)
-        return pd.DataFrame(out, columns=COLUMNS)
+                out.append({"doc_id": first["doc_id"], "page_idx": first["page_idx"], "line_no": len(out)} | row)
+        return out
 
-    return rows.groupBy("doc_id", "page_idx").applyInPandas(run, LINES)
+    return by_group(rows, ["doc_id", "page_idx"], make, LINES)
 
 
 def line_numbers(items: DataFrame, distance: float) -> DataFrame:
     """(doc_id, seq, line_no) of (doc_id, seq, x, y): anchored lines, numbered from 0."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = [Item(float(x), float(y), 0, 0, "", "", int(s)) for x, y, s in zip(pdf["x"], pdf["y"], pdf["seq"])]
-        out = [(pdf["doc_id"].iloc[0], i.seq, n) for n, line in enumerate(lines_of(own, distance)) for i in line]
-        return pd.DataFrame(out, columns=["doc_id", "seq", "line_no"])
+    def make(own: list[dict[str, Any]]) -> list[dict[str, Any]]:
+        return [{"doc_id": own[0]["doc_id"], "seq": i.seq, "line_no": n} for n, line in enumerate(lines_of(map(_item, own), distance)) for i in line]
 
-    return items.select("doc_id", "seq", "x", "y").groupBy("doc_id").applyInPandas(run, "doc_id bigint, seq int, line_no int")
+    return by_group(items.select("doc_id", "seq", "x", "y"), ["doc_id"], make, "doc_id bigint, seq int, line_no int")
 
 
 def table_rows(items: DataFrame, columns: Sequence[float], distance: float) -> DataFrame:
     """(doc_id, seq, row_no) of (doc_id, seq, x, y): greedy table rows, numbered from 0."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = [Item(float(x), float(y), 0, 0, "", "", int(s)) for x, y, s in zip(pdf["x"], pdf["y"], pdf["seq"])]
-        out = [(pdf["doc_id"].iloc[0], i.seq, n) for n, row in enumerate(rows_of(own, columns, distance)) for i in row]
-        return pd.DataFrame(out, columns=["doc_id", "seq", "row_no"])
+    def make(own: list[dict[str, Any]]) -> list[dict[str, Any]]:
+        return [{"doc_id": own[0]["doc_id"], "seq": i.seq, "row_no": n} for n, row in enumerate(rows_of(map(_item, own), columns, distance)) for i in row]
 
-    return items.select("doc_id", "seq", "x", "y").groupBy("doc_id").applyInPandas(run, "doc_id bigint, seq int, row_no int")
+    return by_group(items.select("doc_id", "seq", "x", "y"), ["doc_id"], make, "doc_id bigint, seq int, row_no int")
 
 
 def columns_at(items: DataFrame, columns: Sequence[float]) -> DataFrame:
@@ -508,8 +526,7 @@ def words(text: Column) -> Column:
 def pages_of_two_columns(items: DataFrame) -> DataFrame:
     """(doc_id, two_columns): whether the items (doc_id, seq, x, y, text) are two columns of text."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = [Item(float(x), float(y), 0, 0, t or "", "", int(n)) for x, y, t, n in zip(pdf["x"], pdf["y"], pdf["text"], pdf["seq"])]
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "two_columns": [two_columns(own) is not None]})
+    def make(own: list[dict[str, Any]]) -> list[dict[str, Any]]:
+        return [{"doc_id": own[0]["doc_id"], "two_columns": two_columns([_item(r) for r in own]) is not None}]
 
-    return items.select("doc_id", "seq", "x", "y", "text").groupBy("doc_id").applyInPandas(run, "doc_id bigint, two_columns boolean")
+    return by_group(items.select("doc_id", "seq", "x", "y", "text"), ["doc_id"], make, "doc_id bigint, two_columns boolean")
