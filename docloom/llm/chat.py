@@ -57,10 +57,14 @@ def conversations(messages: DataFrame, best: int = 3) -> DataFrame:
 
     ``messages`` holds tree, node, parent, role, text and score.
     """
-    order = [F.desc_nulls_last("score"), F.asc_nulls_last("role"), F.asc_nulls_last("text")]
-    once = Window.partitionBy("tree", "node").orderBy(*order)
     rows = messages.select("tree", "node", "parent", "role", "text", "score").where("tree is not null and node is not null")
-    rows = materialize(rows.withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n"), "chat-messages")
+    # texts stay where they are but for the nodes that several rows claim
+    key = ["tree", "node"]
+    claimed = materialize(rows.groupBy(*key).agg(F.count("*").alias("__n")).where("__n > 1").select(*key), "chat-claimed")
+    if not claimed.isEmpty():
+        order = [F.desc_nulls_last("score"), F.asc_nulls_last("role"), F.asc_nulls_last("text")]
+        first = rows.join(claimed, key, "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
+        rows = materialize(rows.join(claimed, key, "left_anti").unionByName(first), "chat-messages")
     number = "bigint" if isinstance(rows.schema["score"].dataType, T.IntegralType) else "double"
     rooted, jumps = _doubled(rows.select("tree", "node", "parent", F.coalesce("score", F.lit(0)).cast(number).alias("score")))
     parents = jumps[0].select("tree", F.col("up").alias("node")).distinct() if jumps else None
@@ -95,7 +99,8 @@ def reply_trees(table: DataFrame) -> DataFrame:
     order = ["conv_id", "turn", "role", "text"]
     rows = table.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     ranged = rows.repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, 32)).sortWithinPartitions(*order)
-    placed = materialize(ranged.withColumn("node", F.monotonically_increasing_id()), "chat-order").withColumn("part", F.shiftright("node", 33))
+    # scored here, so that finding the parents moves no texts
+    placed = materialize(ranged.withColumns({"node": F.monotonically_increasing_id(), "score": F.length("text")}), "chat-order").withColumn("part", F.shiftright("node", 33))
     inside = Window.partitionBy("part", "conv_id").orderBy("node")
     cut = F.when(F.lag("role").over(inside) != F.col("role"), F.lag("node").over(inside))
     # the latest message of the partition by another role
@@ -107,8 +112,9 @@ def reply_trees(table: DataFrame) -> DataFrame:
     direct = F.when(last["role"] != F.col("begins"), last["node"]).otherwise(last["inner"])
     carried = chunk.withColumn("direct", direct).withColumn("before", F.last("direct", True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
     carried = carried.where("before is not null").select("conv_id", "part", "before")
-    found = placed.join(carried, ["conv_id", "part"], "left")
-    return found.select(F.col("conv_id").alias("tree"), "node", F.coalesce("inner", "before").alias("parent"), "role", "text", F.length("text").alias("score"))
+    # only the first conversation of a partition began before it: a row a partition at most, so texts needn't move for it
+    found = placed.join(F.broadcast(carried), ["conv_id", "part"], "left")
+    return found.select(F.col("conv_id").alias("tree"), "node", F.coalesce("inner", "before").alias("parent"), "role", "text", "score")
 
 
 #: Three branches of each tree of ``conversations``, in DuckDB's SQL.
