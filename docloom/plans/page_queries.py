@@ -191,7 +191,7 @@ def render_tables(spark, d):
 
 
 @query("""WITH l AS (SELECT p_brand AS doc_id, p_size % 4 AS page_idx, p_partkey, p_size FROM part)
-SELECT doc_id, array_to_string(list(p_size ORDER BY page_idx, p_partkey) FILTER (p_size % 3 = 0), ',') AS notes, bool_or(p_size % 5 = 0) AS has_links, (2 * count(*) FILTER (p_size % 2 = 0))::BIGINT AS formatted_words FROM l GROUP BY doc_id""")
+SELECT doc_id, coalesce(array_to_string(list(p_size ORDER BY page_idx, p_partkey) FILTER (p_size % 3 = 0), ','), '') AS notes, bool_or(p_size % 5 = 0) AS has_links, (2 * count(*) FILTER (p_size % 2 = 0))::BIGINT AS formatted_words FROM l GROUP BY doc_id""")
 def parsed_elements(spark, d):
     word = lambda s, kind, fmt: F.struct(s.alias("s"), kind.cast("string").alias("type"), fmt.cast("string").alias("format"))
     size, none = F.col("p_size"), F.lit(None)
