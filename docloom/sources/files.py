@@ -132,18 +132,23 @@ def targets(files: DataFrame, existing: DataFrame, options: Options | None = Non
     o = options or Options()
     rows = _bases(files, o)
     # 'a.pdf.md' is the plain name of a.pdf, 'a.pdf-1.md' the next
-    taken = existing.select(F.regexp_extract("path", r"^(.*?)(?:-([0-9]+))?\.md$", 1).alias("__stem"), F.regexp_extract("path", r"^(.*?)(?:-([0-9]+))?\.md$", 2).alias("__n"))
-    taken = taken.groupBy("__stem").agg(F.collect_set(F.when(F.col("__n") == "", F.lit(0)).otherwise(F.col("__n").cast("int"))).alias("__taken"))
-    rows = rows.join(taken, rows["__base"] == taken["__stem"], "left").drop("__stem")
+    parts = [F.regexp_extract("path", r"^(.*?)(?:-([0-9]+))?\.md$", k).alias(name) for k, name in ((1, "__base"), (2, "__n"))]
+    taken = existing.select(*parts).select("__base", F.when(F.col("__n") == "", F.lit(0)).otherwise(F.expr("try_cast(__n AS int)")).alias("__at")).dropna().distinct()
     rank = F.row_number().over(Window.partitionBy("__base").orderBy("doc_id")) - 1
-    rows = rows.withColumn("__rank", rank).withColumn("__taken", F.coalesce("__taken", F.array().cast("array<int>")))
+    rows = rows.withColumn("__at", rank)
+    # names that very many files meet at are common: a number costs a row of a join or window, not a list of all that is taken
     if o.skip_existing:
-        number, status = F.col("__rank"), F.when(F.array_contains("__taken", F.col("__rank")), F.lit("skipped")).otherwise(F.lit("new"))
+        rows = rows.join(taken.withColumn("__taken", F.lit(True)), ["__base", "__at"], "left")
+        number, status = F.col("__at"), F.when(F.col("__taken"), F.lit("skipped")).otherwise(F.lit("new"))
     else:
-        free = F.filter(F.sequence(F.lit(0), F.col("__rank") + F.size("__taken")), lambda i: ~F.array_contains(F.col("__taken"), i))
-        number, status = F.get(free, F.col("__rank")), F.lit("new")
+        # the i-th taken number n, from 0, has n - i free ones below: it is passed by the files of that rank and after
+        below = F.col("__at") - (F.row_number().over(Window.partitionBy("__base").orderBy("__at")) - 1)
+        both = rows.withColumn("__taken", F.lit(False)).unionByName(taken.select("__base", below.alias("__at"), F.lit(True).alias("__taken")), allowMissingColumns=True)
+        passed = F.count_if("__taken").over(Window.partitionBy("__base").orderBy("__at", F.desc("__taken")).rowsBetween(Window.unboundedPreceding, 0))
+        rows = both.withColumn("__passed", passed).where("not __taken")
+        number, status = F.col("__at") + F.col("__passed"), F.lit("new")
     path = F.concat("__base", F.when(number == 0, F.lit("")).otherwise(F.concat(F.lit("-"), number.cast("string"))), F.lit(".md"))
-    return rows.withColumn("output_path", path).withColumn("status", status).drop("__base", "__rank", "__taken")
+    return rows.withColumn("output_path", path).withColumn("status", status).drop("__base", "__at", "__taken", "__passed")
 
 
 def _save(path: str, data: bytes) -> None:

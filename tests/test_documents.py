@@ -483,6 +483,19 @@ def test_targets(spark):
     assert files.normalized(["PDF", ".Docx"]) == [".pdf", ".docx"]
 
 
+def test_targets_pass_over_taken_numbers(spark):
+    """Files of one name among many taken numbers with gaps, one of them too large for an int: as by hand, and without a list of numbers for each file."""
+    names = sorted(f"/{k}/a.pdf" for k in range(300))
+    taken = {0, *range(3, 90, 2), 200, 201, 202, 10**11}
+    there = spark.createDataFrame([(f"o/a.pdf{f'-{n}' if n else ''}.md",) for n in taken], "path string")
+    for skip in (True, False):
+        made = files.targets(spark.createDataFrame([(n,) for n in names], "doc_id string"), there, Options(output_directory="o", skip_existing=skip))
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "sequence(" not in plan and "collect_set" not in plan
+        free = [n for n in range(600) if skip or n not in taken]
+        assert {r.doc_id: (r.output_path, r.status) for r in made.collect()} == {d: (f"o/a.pdf{f'-{n}' if n else ''}.md", "skipped" if skip and n in taken else "new") for d, n in zip(names, free)}
+
+
 def test_stream_converts_each_file_once(spark, tmp_path):
     folder, out = _folder(tmp_path), str(tmp_path / "out")
     os.remove(tmp_path / "in/sub/loop")
