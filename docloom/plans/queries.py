@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,7 +20,7 @@ from docloom.functions import text as T
 from docloom.operators import blocks, headings, images, layout, paragraphs, render, repetition, sheets, stats
 from docloom.plans import docx as docx_plan
 from docloom.plans import pdf as pdf_plan
-from docloom.sources import docx, files, pdf, xlsx
+from docloom.sources import batches, docx, files, pdf, xlsx
 from docloom.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -361,6 +362,8 @@ def output_names(spark, d):
 
 # --- round trips: workbooks --------------------------------------------------
 
+_FILES = pa.schema({"doc_id": pa.string(), "content": pa.binary()})
+
 
 def _made(rows: DataFrame, by: str, make: Callable[[pd.DataFrame], bytes]) -> DataFrame:
     """(doc_id, content): one document of each group of rows, written by the workers."""
@@ -374,11 +377,12 @@ def _made(rows: DataFrame, by: str, make: Callable[[pd.DataFrame], bytes]) -> Da
 def _each(rows: DataFrame, make: Callable[[dict], bytes]) -> DataFrame:
     """(doc_id, content): one document of every row (doc_id, …)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype(str), "content": [make(r) for r in b.to_dict("records")]}, columns=["doc_id", "content"])
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = ({"doc_id": str(r["doc_id"]), "content": make(r)} for part in parts for at in range(0, part.num_rows, 100) for r in part.slice(at, 100).to_pylist())
+        for found in batches.cut((0, len(r["content"]), r) for r in made):
+            yield pa.RecordBatch.from_pylist(found, _FILES)
 
-    return rows.mapInPandas(run, "doc_id string, content binary")
+    return rows.mapInArrow(run, "doc_id string, content binary")
 
 
 def _nation_book(g: pd.DataFrame) -> bytes:
