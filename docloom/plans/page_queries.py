@@ -37,6 +37,8 @@ def _laid(items: DataFrame) -> DataFrame:
     """Lines of (doc_id, page_idx, seq, x, y, text[, font]) items of 12 points, six points a character wide."""
     rows = items.withColumns({"doc_id": F.col("doc_id").cast("string"), "height": F.lit(12.0), "width": F.length("text") * 6.0, "x": F.col("x").cast("double"), "y": F.col("y").cast("double")})
     rows = rows if "font" in rows.columns else rows.withColumn("font", F.lit("F1"))
+    # a small file of very many documents is one split: they are spread before anything is sorted or counted by document
+    rows = rows.repartition("doc_id")
     pages = rows.select("doc_id", "page_idx").distinct().withColumn("height", F.lit(792.0))
     fonts = rows.select("doc_id").distinct().select("doc_id", F.expr(f"explode({_FONTS}) as (font_id, base_font)"))
     return layout.lines(rows, stats.document_stats(rows, fonts), pages)

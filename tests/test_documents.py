@@ -555,6 +555,14 @@ def test_pdf_values_by_one_match_are_those_read_step_by_step():
     assert [type(found[i]) for i in (0, 1, 5, 6, 7, 12)] == [int, float, Word, Name, Name, Word]
 
 
+def test_items_are_spread_before_they_are_counted(spark):
+    """A small file of very many documents is one split: its items are dealt out by document below the statistics too, not for the layout alone."""
+    from docloom.plans import queries as Q
+
+    plan = Q.QUERIES["layout_spaces"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [doc_id") > 1
+
+
 def test_stream_converts_each_file_once(spark, tmp_path):
     folder, out = _folder(tmp_path), str(tmp_path / "out")
     os.remove(tmp_path / "in/sub/loop")
